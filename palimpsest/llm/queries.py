@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm.exact_dedup import exact_duplicates
+from palimpsest.llm.pii import BASE, spans_text, with_spans
 from palimpsest.llm.simhash import near_duplicates
 
 
@@ -18,11 +20,18 @@ def op2_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii_checksum_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    base = F.filter("pii", lambda s: s["k"] < len(BASE))
+    counts = [F.size(F.filter("pii", lambda s, k=k: s["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("pii")).alias("spans"))
+
+
 def op10_msd_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_pigeonring, op10_msd_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_pigeonring, op3_pii_checksum_context, op10_msd_exact_dedup)}
 
 ORACLE: dict[str, str] = {
     "op10_msd_exact_dedup": """
