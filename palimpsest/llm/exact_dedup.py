@@ -4,12 +4,13 @@ Documents are split by their leading bytes, the groups by the bytes that follow,
 and so on until a group has one member or its texts have ended. Equality is what
 is left when no byte tells two texts apart; no digest decides it.
 
-The radix is a string of bytes that gets longer from level to level (64, 256, ...
-up to 64 KiB), so a text of n bytes takes O(log n) levels at first. At a level,
-children are counted with a map-side combine, so a group that holds a third of all
-rows sends one row per task; documents then look up their child in a join that is
-safe for hot keys. Only rows of groups that are still open carry text to the next
-level, and each level is a written table, so lost executors cost a re-read.
+The radix is a string of bytes that gets longer from level to level (64, 2048, 65536).
+At a level, children are counted with a map-side combine, so a group that holds a
+third of all rows sends one row per task; documents then look up their child in a join
+that is safe for hot keys. Of the groups that are still open, those of up to
+``LOCAL_ROWS`` rows go to one task each, which splits them further in the same way;
+only larger ones take another level over the cluster. Each level is a written table,
+so lost executors cost a re-read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from palimpsest.operators.skew import hot_left_join
 from palimpsest.sources.scratch import Scratch
 
-FIRST_WIDTH, GROWTH, MAX_WIDTH = 64, 4, 1 << 16
+FIRST_WIDTH, GROWTH, MAX_WIDTH, LOCAL_ROWS = 64, 32, 1 << 16, 256
+_RESULT = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string"
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,7 +37,52 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), sha, text], ["doc_id", "text_sha256", "rest"])
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def radix_groups(texts: list[bytes], width: int = FIRST_WIDTH) -> list[list[int]]:
+    """Indices of equal texts, by splitting on successive bytes."""
+    done, todo = [], [(list(range(len(texts))), 0, width)]
+    while todo:
+        group, at, w = todo.pop()
+        buckets: dict[bytes, list[int]] = {}
+        for i in group:
+            buckets.setdefault(texts[i][at : at + w], []).append(i)
+        for digit, members in buckets.items():
+            if len(members) == 1 or len(digit) < w:
+                done.append(members)
+            else:
+                todo.append((members, at + w, min(w * GROWTH, MAX_WIDTH)))
+    return done
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Splits the groups (gid) of a partition sorted by gid to their end; a group may go on in the next batch."""
+
+    def split(rows: list[tuple]) -> pa.RecordBatch:
+        out = []
+        at = 0
+        while at < len(rows):
+            end = at
+            while end < len(rows) and rows[end][3] == rows[at][3]:
+                end += 1
+            group = rows[at:end]
+            for members in radix_groups([r[4] for r in group]):
+                top = max((group[i] for i in members), key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+                out += [(group[i][0], top[0], len(members), group[i][2] == top[2], group[i][1]) for i in members]
+            at = end
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()))], ["doc_id", "keep_id", "group_size", "kept", "text_sha256"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        held += zip(*(c.to_pylist() for c in batch.columns))
+        if held:
+            cut = len(held)
+            while cut and held[cut - 1][3] == held[-1][3]:
+                cut -= 1
+            yield split(held[:cut])
+            held = held[cut:]
+    yield split(held)
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", local_rows: int = LOCAL_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. Of equal texts the row with
@@ -70,16 +117,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.coalesce("keep_row", "row").alias("gid"),
             F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
             F.coalesce("n", F.lit(1)).alias("group_size"),
-            is_open.alias("open"),
+            F.when(is_open, F.col("n")).alias("open"),  # the rows of a group that goes on
             F.when(is_open, F.col("rest")).alias("rest"),
         )
         split = scratch.keep(split, f"l{level + 1}")
         scratch.drop(f"c{level}")
         if level == 0:
             scratch.drop("l0")
-        ended = split.filter("not open").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("gid")).alias("kept"), "text_sha256")
+        ended = split.filter("open is null").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("gid")).alias("kept"), "text_sha256")
+        small = split.filter(F.col("open") <= local_rows).select("doc_id", "text_sha256", "row", "gid", "rest")
+        small = small.repartition("gid").sortWithinPartitions("gid").mapInArrow(_finish, _RESULT)
+        ended = ended.unionByName(small)
         done = ended if done is None else done.unionByName(ended)
-        active = split.filter("open").select("doc_id", "text_sha256", "row", "gid", "rest")
+        active = split.filter(F.col("open") > local_rows).select("doc_id", "text_sha256", "row", "gid", "rest")
         level, width, total = level + 1, min(width * GROWTH, MAX_WIDTH), active.count()
     if done is None:
         done = active.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
@@ -95,10 +145,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     marks = exact_duplicates(docs, id_col, text_col)
     lost = marks.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("_any"), F.count("*").alias("_n"), F.count_if("kept").alias("_k"))
     gone = lost.filter("not _any").select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
     repeated = lost.filter("_any and _n > _k").select(F.col("doc_id").alias("_gone"))
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, left[id_col] == F.col("_gone"), "left_semi").withColumn("_low", F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    once = once.dropDuplicates([id_col, "_low"]).drop("_low")
-    return left.join(repeated, left[id_col] == F.col("_gone"), "left_anti").unionByName(once)
+    once = left.join(repeated, left[id_col] == repeated["_gone"], "left_semi").withColumn("__low", F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    once = once.dropDuplicates([id_col, "__low"]).drop("__low")
+    return left.join(repeated, left[id_col] == repeated["_gone"], "left_anti").unionByName(once)
