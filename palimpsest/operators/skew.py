@@ -15,7 +15,8 @@ def hot_left_join(left: DataFrame, right: DataFrame, on: list[str], weight: str,
     most, so there are fewer than ``slots`` of them however large the input: these rows of
     ``right`` are broadcast. Left rows of a hot key then spread over the shuffle by
     ``salt`` (any column that varies within a key), with a null key that matches nothing.
-    Key columns must not be null.
+    Key columns must not be null. The cold part is a merge join at every size: a plan that
+    turned to a broadcast for small inputs would say nothing about large ones.
     """
     payload = [c for c in right.columns if c not in on]
     limit = total / slots
@@ -28,6 +29,6 @@ def hot_left_join(left: DataFrame, right: DataFrame, on: list[str], weight: str,
     for c in on:
         joined = joined.withColumn(f"_k_{c}", F.when(~is_hot, F.col(c)))
     joined = joined.withColumn("_k_salt", F.when(is_hot, F.pmod(F.hash(salt), F.lit(1 << 20)) + 1).otherwise(F.lit(0)))
-    joined = joined.join(cold, [*(F.col(f"_k_{c}").eqNullSafe(F.col(f"_c_{c}")) for c in on), F.col("_k_salt") == F.col("_c_salt")], "left")
+    joined = joined.join(cold.hint("merge"), [*(F.col(f"_k_{c}").eqNullSafe(F.col(f"_c_{c}")) for c in on), F.col("_k_salt") == F.col("_c_salt")], "left")
     got = F.coalesce("_hot", "_cold")
     return joined.select(*left.columns, *(got[c].alias(c) for c in payload))
