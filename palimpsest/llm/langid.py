@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 PROFILE, SAMPLE_PER_LANG, SAMPLE_CHARS, SAMPLE_LANGS = 400, 1000, 20_000, 512
 UNKNOWN = "und"
@@ -160,7 +161,7 @@ def drop_unknown(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     model = train(docs.filter(~held_out()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def known(texts):
         import pandas as pd
 
