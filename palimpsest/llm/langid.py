@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,13 +110,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
     limits = [(lang, (2**64 * min(1.0, 1.5 * per_lang / n)) - 2**63) for lang, n in langs]
     near = F.broadcast(docs.sparkSession.createDataFrame([(lang, int(min(top, 2**63 - 1))) for lang, top in limits], "lang string, top long"))
     sample = hashed.join(near, "lang").filter("h <= top").select("lang", "h", F.left("text", F.lit(chars)).alias("text")).distinct()
-    return_size = size
-
-    def top_grams(key: tuple, frame) -> "object":
-        import pandas as pd
 
+    def top_grams(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         texts = frame.sort_values(["h", "text"])["text"].head(per_lang)
-        grams = profile(" ".join(texts), return_size)
+        grams = profile(" ".join(texts), size)
         return pd.DataFrame({"lang": key[0], "rank": np.arange(len(grams)), "gram": grams.view(np.int64)})
 
     got = sample.groupBy("lang").applyInPandas(top_grams, "lang string, rank long, gram long").toPandas()
@@ -162,9 +160,7 @@ def drop_unknown(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(BooleanType())
-    def known(texts):
-        import pandas as pd
-
+    def known(texts: pd.Series) -> pd.Series:
         found = [shared.value.predict(t) for t in texts]
         return pd.Series([lang != UNKNOWN and score > least_score for lang, score in found], dtype=bool)
 

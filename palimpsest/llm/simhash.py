@@ -42,13 +42,7 @@ def simhash(text: bytes, shingle: int = 3) -> int:
     words = text.lower().split()
     if not words:
         return 0
-    joined = b" ".join(words)
-    ends = list(accumulate(map(len, words), lambda a, n: a + 1 + n))
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    digest = xxhash.xxh64_digest
-    k = min(shingle, len(words))
-    h = b"".join([digest(joined[s:e], 42) for s, e in zip(starts, ends[k - 1 :])])
-    bits = np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, 8), axis=1)
+    bits = np.unpackbits(_hashes(words, shingle).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     n, ones = len(bits), np.zeros(BITS, np.int64)
     for at in range(0, n, 255):
         ones += bits[at : at + 255].sum(axis=0, dtype=np.uint8)
@@ -168,7 +162,157 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` but for those whose component has a smaller id; rows without an id stay."""
-    gone = near_duplicates(docs, id_col, text_col).filter("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
+# --- similar texts -------------------------------------------------------------------------
+#
+# Two bits of 64 find texts that are nearly the same. Texts whose sets of five-word
+# shingles are alike by 0.8 differ in some 2 % of their words, which changes about a tenth
+# of a fingerprint's bits. For these the ring is 1024 bits of two-word shingles in 128
+# segments of 8. A chain of ``CHAIN`` consecutive equal segments makes a candidate; with
+# a tenth of the bits changed at random, all but about 1 in 500 pairs have one. Then comes
+# the whole Hamming distance, and then the exact likeness of the two sets.
+
+WORDS, CHAIN, WIDE_DISTANCE, WINDOW = 16, 3, 170, 128
+SHINGLE, SIMILARITY = 5, 0.8
+
+
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of the shingles of a list of words; of the whole list if it is shorter."""
+    joined = b" ".join(words)
+    ends = list(accumulate(map(len, words), lambda a, n: a + 1 + n))
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(joined[s:e], 42) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :])]), ">u8").astype(np.uint64)
+
+
+def wide_simhash(text: bytes, shingle: int = 2) -> bytes:
+    """A fingerprint of 64 * ``WORDS`` bits; each shingle's hash is stretched by mixing it with a counter."""
+    words = text.lower().split()
+    if not words:
+        return bytes(8 * WORDS)
+    h, ones = _hashes(words, shingle), np.zeros(64 * WORDS, np.int64)
+    counter = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(h), 255):
+        z = h[at : at + 255, None] + counter
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones += np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h)).tobytes()
+
+
+def chain_keys(fps: np.ndarray) -> np.ndarray:
+    """For each fingerprint (a row of bytes) and ring position the position and the segments of its chain."""
+    n = fps.shape[1]
+    key = np.broadcast_to(np.arange(n, dtype=np.int64) << (8 * CHAIN), fps.shape).copy()
+    for j in range(CHAIN):
+        key |= np.roll(fps, -j, axis=1).astype(np.int64) << (8 * (CHAIN - 1 - j))
+    return key
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps = [wide_simhash(x.as_py() or b"") for x in batch.column(1).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            fps = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
+            ids = np.repeat(part.column(0).to_numpy(), 8 * WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array(chain_keys(fps).ravel()), pa.array(ids)], ["key", "id"])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (u, v) within the distance, from rows (key, id, fp) sorted by key and fp: a forest for each key.
+
+    Of a key that many hold, a row is compared with the ``WINDOW`` that follow it. They are
+    in order of their fingerprints there, and at each of the 128 ring positions the company
+    is another one.
+    """
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        keys = table.column("key").to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        if len(keys) - cut > 4 * WINDOW:  # a long run needn't be held whole
+            cut = len(keys) - WINDOW
+            yield _forest(table, cut)
+        else:
+            yield _forest(table.slice(0, cut), cut)
+        held = table.slice(cut).combine_chunks()
+    if held is not None:
+        yield _forest(held, held.num_rows)
+
+
+def _forest(table: pa.Table, upto: int) -> pa.RecordBatch:
+    keys, ids = table.column("key").to_numpy(), table.column("id").to_numpy()
+    fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS)
+    parent = np.arange(len(keys))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    u, v = [], []
+    for shift in range(1, min(WINDOW, len(keys) - 1) + 1):
+        at = np.flatnonzero(keys[:-shift] == keys[shift:])
+        at = at[at < upto]
+        if not len(at):
+            break
+        near = np.bitwise_count(fps[at] ^ fps[at + shift]).sum(axis=1) <= WIDE_DISTANCE
+        for i in at[near].tolist():
+            a, b = root(i), root(i + shift)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                u.append(ids[i])
+                v.append(ids[i + shift])
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(_hashes(w, SHINGLE)).view(np.int64) if (w := (x.as_py() or b"").lower().split()) else [] for x in batch.column(1).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of documents that are like another: their sets of five-word shingles by ``similarity`` or more.
+
+    Documents whose fingerprints are equal are alike without more (their words are the
+    same). Rows without an id are left out. Components are of links between different
+    fingerprints; ``component_id`` is the least doc_id of one.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    each = scratch.keep(texts.mapInArrow(_wide, "doc_id long, fp binary"), "each")
+    fps = scratch.keep(each.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "fps")
+    n = fps.count()
+    keyed = fps.select("id", "fp").mapInArrow(_keyed, "key long, id long")
+    keyed = scratch.keep(keyed, "keyed")
+    common = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "common")
+    keyed = hot_left_join(keyed, common, ["key"], "n", 8 * WORDS * n, F.col("id")).filter("n is not null").select("key", "id")
+    keyed = scratch.keep(keyed.join(fps.select("id", "fp"), "id"), "met")
+    scratch.drop("keyed")
+    close = keyed.select("key", "id", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_close, "u long, v long")
+    close = scratch.keep(close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "close")
+    wanted = close.select(F.col("u").alias("id")).unionByName(close.select(F.col("v").alias("id"))).distinct()
+    sets = texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_shingle_sets, "id long, shingles array<bigint>")
+    sets = scratch.keep(sets, "sets")
+    both = close.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    common_n = F.size(F.array_intersect("a", "b"))
+    links = both.filter(common_n >= similarity * (F.size("a") + F.size("b") - common_n)).select("u", "v")
+    roots = components(links, scratch)
+    group = fps.join(roots, fps["id"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("component_id"))
+    out = hot_left_join(each, group, ["fp"], "n", each.count(), F.col("doc_id"))
+    return out.select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` but for those that are like one with a smaller id (or linked to one); rows without an id stay.
+
+    Rows that repeat an id stay or go together.
+    """
+    gone = similar_groups(docs, id_col, text_col, similarity).filter("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
