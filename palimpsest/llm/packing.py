@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.tokens import byte_level, shared
+from palimpsest.llm.workers import lean
 from palimpsest.sources.scratch import Scratch
 
 LENGTH, OPEN_WINDOWS, MIN_PIECE, FAN_IN, FULL = 1024, 64, 8, 64, 0.95
@@ -108,13 +109,14 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = LE
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.bool_() if c == "is_open" else pa.int64()) for i, c in enumerate(_NAMES)], _NAMES)
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared(byte_level, tokenizer_path, end_id)
         space = Windows(length, windows, min_piece, TaskContext.get().partitionId() << 40)
         held = space.held
         for batch in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(t.as_py() or "" for t in batch.column(1))):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1))):
                 data = ids.astype("<u4").tobytes()
                 for at, n, sequence, offset, closes in space.place(len(ids)):
                     pieces = held.setdefault(sequence, [])

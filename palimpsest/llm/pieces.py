@@ -17,10 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.tokens import WordEncoder
+from palimpsest.llm.workers import lean
 
 LONG = 64
 _NONE = np.int64(1 << 40)
@@ -169,13 +171,21 @@ class Merges:
 def piece_encoder(processor) -> WordEncoder:
     """Encodes texts as ``processor`` does (identity normalisation, a blank put before the text), with its end id last."""
     merges = Merges(processor)
+    if processor.normalize("a ﬁ\t b ") != "▁a▁ﬁ\t▁b▁":
+        raise ValueError("models that normalise texts aren't supported")
     words = re.compile(f"{_MARK}*[^{_MARK}\n]+|{_MARK}+|\n" if merges.lone_newline else f"{_MARK}*[^{_MARK}]+|{_MARK}+").findall
 
     def split(text: str) -> list[str]:
         text = processor.normalize(text) if text else ""
         return [text] if merges.inner_mark else words(text)
 
-    return WordEncoder(split, merges.encode, processor.eos_id())
+    def split_column(texts: pa.Array) -> pa.ListArray:
+        """Blanks begin words, and new lines stand alone."""
+        marked = pc.replace_substring(pc.binary_join_element_wise(" ", texts, ""), " ", f"\x01{_MARK}")
+        return pc.split_pattern(pc.replace_substring(marked, "\n", "\x01\n\x01"), "\x01")
+
+    plain = merges.lone_newline and not merges.inner_mark
+    return WordEncoder(split, merges.encode, processor.eos_id(), f"  |^ |^$|{_MARK}|\x01" if plain else "", split_column)
 
 
 _kept: dict[str, tuple] = {}
@@ -199,12 +209,13 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor, encoder = _shared(model_path)
         begin = np.array([processor.bos_id()], np.uint32)
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(t.as_py() or "" for t in batch.column(1))):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1))):
                 ids = np.concatenate([begin, ids])
                 listed = ids.tolist()
                 text = processor.decode(listed)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.tokens import WordEncoder, lower_words, shared
+from palimpsest.llm.workers import lean
 from palimpsest.sources.scratch import Scratch
 
 MAGIC, BLOCK_BYTES, BITS_PER_KEY, PROBES = b"PLMPSST1", 1 << 16, 10, 7
@@ -178,6 +179,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @lean
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared(make, tokenizer_path, end_id)
         shard = TaskContext.get().partitionId()
@@ -187,7 +189,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         with fs.open_output_stream(f"{root}/{name}") as out:
             writer = Writer(out, width)
             for batch in batches:
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(t.as_py() or "" for t in batch.column(1))):
+                for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1))):
                     writer.add(doc, ids)
             writer.close()
         yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/{name}", "docs": writer.docs, "tokens": writer.tokens}], pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
@@ -204,6 +206,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the shards."""
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
         for batch in batches:

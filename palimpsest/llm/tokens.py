@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHED_WORDS, BATCH_CHARS = 400_000, 2_000_000
+CACHED_WORDS, BATCH_BYTES = 300_000, 4_000_000
 
 
 class _Index(dict):
@@ -29,17 +32,21 @@ class _Index(dict):
 
 
 class WordEncoder:
-    """``split`` cuts a text into words whose ids ``encode`` finds one by one; ``end`` is appended to each text."""
+    """Encodes texts by words, of which ``encode`` finds the ids one by one; ``end`` is appended to each text.
 
-    def __init__(self, split: Callable[[str], list], encode: Callable[[list], list[list[int]]], end: int, limit: int = CACHED_WORDS):
-        self.split, self.encode_words, self.end, self.limit = split, encode, end, limit
+    Texts of which ``slow`` (a pattern) finds nothing are split by ``split_column``, which
+    works on Arrow columns; the others by ``split``. Words of a batch are counted out by
+    Arrow before each different one is looked up.
+    """
+
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], end: int, slow: str, split_column: Callable[[pa.Array], pa.ListArray], limit: int = CACHED_WORDS):
+        self.split, self.encode_words, self.end, self.slow, self.split_column, self.limit = split, encode, end, slow, split_column, limit
         self._clear()
 
     def _clear(self) -> None:
         self.index = _Index()
-        self.index[None] = 0  # stands for the end of a text
-        self.flat, self.used = np.full(1 << 16, self.end, np.uint32), 1
-        self.starts, self.lens = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
@@ -52,39 +59,44 @@ class WordEncoder:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.index) > len(self.lens):
             self.starts, self.lens = np.concatenate([self.starts, self.starts]), np.concatenate([self.lens, self.lens])
-        self.flat[self.used : self.used + need] = np.fromiter((i for x in ids for i in x), np.uint32, need)
+        self.flat[self.used : self.used + need] = np.fromiter(chain.from_iterable(ids), np.uint32, need)
         self.starts[at : at + len(new)] = self.used + np.cumsum(lens) - lens
         self.lens[at : at + len(new)] = lens
         self.used += need
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text as unsigned 32-bit integers, the end id last."""
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text as unsigned 32-bit integers, the end id last; null is an empty text."""
         if len(self.index) > self.limit:
             self._clear()
-        words: list = []
-        ends = []
-        for text in texts:
-            words += self.split(text)
-            words.append(None)
-            ends.append(len(words))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        texts = pc.fill_null(texts, "")
+        slow = pc.match_substring_regex(texts, self.slow).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(~slow), np.flatnonzero(slow)])
+        lists = self.split_column(texts.filter(pa.array(~slow)))
+        by_hand = [self.split(t) for t in texts.filter(pa.array(slow)).to_pylist()]
+        counts = np.concatenate([pc.list_value_length(lists).to_numpy(zero_copy_only=False), np.array([len(w) for w in by_hand], np.int64)]).astype(np.int64)
+        words = pa.chunked_array([lists.flatten(), pa.array([w for ws in by_hand for w in ws], pa.string())]).combine_chunks().dictionary_encode()
+        different = words.dictionary.to_pylist()
+        at = np.fromiter(map(self.index.__getitem__, different), np.int64, len(different))[words.indices.to_numpy(zero_copy_only=False)]
         self._learn()
         lens = self.lens[at]
-        upto = np.cumsum(lens)
-        ids = self.flat[np.repeat(self.starts[at] - (upto - lens), lens) + np.arange(upto[-1] if len(upto) else 0)]
-        return np.split(ids, upto[np.array(ends, np.int64) - 1][:-1]) if ends else []
-
-    def encode_all(self, texts: Iterable[str]) -> Iterable[np.ndarray]:
-        """``encode`` over batches of a bounded number of characters."""
-        batch, chars = [], 0
-        for text in texts:
-            batch.append(text)
-            chars += len(text)
-            if chars >= BATCH_CHARS:
-                yield from self.encode(batch)
-                batch, chars = [], 0
-        if batch:
-            yield from self.encode(batch)
+        upto = np.concatenate([[0], np.cumsum(lens)])
+        ids = self.flat[np.repeat(self.starts[at] - upto[:-1], lens) + np.arange(upto[-1])]
+        ends = upto[np.cumsum(counts)]
+        out: list[np.ndarray] = [ids] * len(order)
+        begin, last = 0, np.array([self.end], np.uint32)
+        for doc, end in zip(order.tolist(), ends.tolist()):
+            out[doc] = np.concatenate([ids[begin:end], last])
+            begin = end
+        return out
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """``encode`` over slices of a bounded number of bytes."""
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < len(texts):
+            end = int(np.searchsorted(size, (size[begin - 1] if begin else 0) + BATCH_BYTES)) + 1
+            yield from self.encode(texts.slice(begin, end - begin))
+            begin = end
 
 
 #: Marks that follow a word; the apostrophe isn't one, since it begins contractions.
@@ -96,7 +108,7 @@ def _by_parts(words: list[str], encode: Callable[[list[str]], list[list[int]]],
     parts = []
     for word in words:
         core = word.rstrip(_MARKS)
-        parts.append((core, word[len(core) :]) if len(core) < len(word) and core.isalpha() else (word,))
+        parts.append((core, word[len(core) :]) if len(core) < len(word) and core.isalpha() and core.lower().isalpha() else (word,))
     if len(known) > limit:
         known.clear()
     new = list({p for ps in parts for p in ps if p not in known})
@@ -115,6 +127,15 @@ def _tokenizer(path: str):
 _SPACE = "\\t-\\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Before white space that follows something else, a byte-level pre-token always ends.
 _BYTE_LEVEL_PARTS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_CUT = "\x01"
+_WIDE_SPACE = "".join(f"\\x{{{c:x}}}" for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def cut_before(texts: pa.Array, *marks: str) -> pa.Array:
+    """``texts`` with a cut before each of the marks."""
+    for mark in marks:
+        texts = pc.replace_substring(texts, mark, _CUT + mark)
+    return texts
 
 
 def byte_level(path: str, end: int, limit: int = CACHED_WORDS) -> WordEncoder:
@@ -128,7 +149,9 @@ def byte_level(path: str, end: int, limit: int = CACHED_WORDS) -> WordEncoder:
     ranks = {bytes(byte_of[c] for c in token): i for token, i in tokenizer["model"]["vocab"].items() if token not in special}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return WordEncoder(_BYTE_LEVEL_PARTS.findall, lambda words: list(map(encode, words)), end, limit)
+    # where no white space comes before a blank or a new line, each of them begins a part
+    slow = f"[\\t-\\r {_WIDE_SPACE}][ \\n]|{_CUT}"
+    return WordEncoder(_BYTE_LEVEL_PARTS.findall, lambda words: list(map(encode, words)), end, slow, lambda texts: pc.split_pattern(cut_before(texts, " ", "\n"), _CUT), limit)
 
 
 def lower_words(path: str, end: int, limit: int = CACHED_WORDS) -> WordEncoder:
@@ -137,10 +160,22 @@ def lower_words(path: str, end: int, limit: int = CACHED_WORDS) -> WordEncoder:
 
     known: dict[str, list[int]] = {}
 
-    def encode(words: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    last = {i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")}
 
-    return WordEncoder(lambda text: text.encode().lower().split(), lambda words: _by_parts([w.decode() for w in words], encode, known, limit), end, limit)
+    def encode(words: list[str]) -> list[list[int]]:
+        """Words of letters are one pre-token each, so they go as one text, whose ids are cut where a pre-token ends."""
+        letters = [w for w in words if w.isalpha() and w.lower().isalpha()]
+        ids = tokenizer.encode(" ".join(letters), add_special_tokens=False).ids
+        ends = [i + 1 for i, x in enumerate(ids) if x in last]
+        if len(ends) == len(letters):
+            found = {w: ids[a:b] for w, a, b in zip(letters, [0, *ends], ends)}
+        else:
+            found = {}
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, (e.ids for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+        return [found[w] for w in words]
+
+    return WordEncoder(lambda text: [text], lambda words: _by_parts(words, encode, known, limit), end, r"[^\s\S]", lambda texts: pc.ascii_split_whitespace(pc.ascii_lower(texts)), limit)
 
 
 _kept: dict[tuple, WordEncoder] = {}
