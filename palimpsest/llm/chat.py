@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.llm.workers import lean
 from palimpsest.sources.scratch import Scratch
 
 OPEN, CLOSE, LEARNT = "<|im_start|>", "<|im_end|>", "assistant"
@@ -113,6 +114,7 @@ def records_to_turns(records: DataFrame, id_col: str, json_col: str) -> DataFram
     role, text and layout, so none is lost.
     """
 
+    @lean
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -172,6 +174,7 @@ def parse_turn(formatted: str) -> tuple[str, str]:
 def format_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, formatted, loss_start, loss_end) of each turn; offsets are code points within ``formatted``."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [format_turn(r or "", t or "") for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
@@ -200,6 +203,7 @@ class _Digest:
 def digest(formatted: DataFrame) -> DataFrame:
     """What formatted turns hold, a row for each conversation; turns by number, equal or null numbers by their text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

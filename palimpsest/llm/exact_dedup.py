@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.workers import lean
 from palimpsest.operators.skew import hot_left_join
 from palimpsest.sources.scratch import Scratch
 
@@ -30,6 +31,7 @@ FIRST_WIDTH, GROWTH, MAX_WIDTH, LOCAL_ROWS = 64, 32, 1 << 16, 256
 _RESULT = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string"
 
 
+@lean
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = pc.ascii_lower(pc.fill_null(batch.column(1), "")).cast(pa.binary())
@@ -53,6 +55,7 @@ def radix_groups(texts: list[bytes], width: int = FIRST_WIDTH) -> list[list[int]
     return done
 
 
+@lean
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Splits the groups (gid) of a partition sorted by gid to their end; a group may go on in the next batch."""
 

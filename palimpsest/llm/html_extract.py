@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.html_pages import labelled_pages
+from palimpsest.llm.workers import lean
 
 TRAINING_PAGES = 600
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -263,6 +264,7 @@ def main_text(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> DataFra
     """
     shared = pages.sparkSession.sparkContext.broadcast(train(labelled_pages(training_pages)))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:

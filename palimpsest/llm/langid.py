@@ -19,7 +19,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+
+from palimpsest.llm.workers import lean
 
 PROFILE, SAMPLE_PER_LANG, SAMPLE_CHARS, SAMPLE_LANGS = 400, 1000, 20_000, 512
 UNKNOWN = "und"
@@ -134,6 +135,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", id_col:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred n-grams for each of at most SAMPLE_LANGS languages
 
+    @lean
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
@@ -159,9 +161,13 @@ def drop_unknown(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     model = train(docs.filter(~held_out()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(BooleanType())
-    def known(texts: pd.Series) -> pd.Series:
-        found = [shared.value.predict(t) for t in texts]
-        return pd.Series([lang != UNKNOWN and score > least_score for lang, score in found], dtype=bool)
+    at = docs.columns.index("text")
+
+    @lean
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            found = (model.predict(t.as_py()) for t in batch.column(at))
+            yield batch.filter(pa.array([lang != UNKNOWN and score > least_score for lang, score in found], pa.bool_()))
 
-    return docs.filter(known(F.col("text")))
+    return docs.mapInArrow(known, docs.schema)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.graph import components
+from palimpsest.llm.workers import lean
 from palimpsest.operators.skew import hot_left_join
 from palimpsest.sources.scratch import Scratch
 
@@ -49,6 +50,7 @@ def simhash(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+@lean
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
@@ -208,20 +210,22 @@ def chain_keys(fps: np.ndarray) -> np.ndarray:
     return key
 
 
+@lean
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = [wide_simhash(x.as_py() or b"") for x in batch.column(1).cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
 
+@lean
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-            fps = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
-            ids = np.repeat(part.column(0).to_numpy(), 8 * WORDS)
-            yield pa.RecordBatch.from_arrays([pa.array(chain_keys(fps).ravel()), pa.array(ids)], ["key", "id"])
+        fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
+        ids = np.repeat(batch.column(0).to_numpy(), 8 * WORDS)
+        yield pa.RecordBatch.from_arrays([pa.array(chain_keys(fps).ravel()), pa.array(ids)], ["key", "id"])
 
 
+@lean
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates (u, v) within the distance, from rows (key, id, fp) sorted by key and fp: a forest for each key.
 
@@ -271,6 +275,7 @@ def _forest(table: pa.Table, upto: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
+@lean
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.unique(_hashes(w, SHINGLE)).view(np.int64) if (w := (x.as_py() or b"").lower().split()) else [] for x in batch.column(1).cast(pa.binary())]
