@@ -81,6 +81,9 @@ KINDS = [
     Kind("phone", lambda t: t.contains("+"), r"\+[0-9][\x20().0-9-]+[0-9]", _phone, 0.6, "phone|call|tel|mobile|fax"),
     Kind("iban", lambda t: t.rlike("[A-Z]{2}[0-9]{2}[ ]?[A-Z0-9]{4}"), r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban, 0.6, "iban|account|bank"),
     Kind("ssn", lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda h: F.lit(True), 0.3, "ssn|social"),
+    # numbers that the base expressions run together with their neighbours, and then drop
+    Kind("card", lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), r"(?<![0-9])(?:[0-9]{14,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,4})(?![0-9])", _card, 0.7, "card|visa|credit|payment|pay"),
+    Kind("phone", lambda t: t.contains("+"), r"\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])", _phone, 0.6, "phone|call|tel|mobile|fax"),
 ]
 
 
@@ -107,12 +110,22 @@ def with_spans(docs: DataFrame, text_col: str = "text", out: str = "pii", thresh
 
     Offsets are in code points, the end exclusive. The four kinds of ``BASE`` keep every
     confirmed match whatever its score; others need ``threshold``, which a social
-    security number reaches with a context word only. A null text has no span.
+    security number reaches with a context word only. Cards and phones that a base
+    expression ran together with their neighbours are added. A null text has no span.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = F.concat(*(_spans(text, i, kind) for i, kind in enumerate(KINDS)))
-    sure = F.filter(found, lambda s: (s["k"] < len(BASE)) | (s["score"] >= threshold))
-    return docs.withColumn(out, F.array_sort(sure))
+    marked = docs.withColumn(out, F.array_sort(found))
+    again = {i: BASE.index(kind.name) for i, kind in enumerate(KINDS) if i >= len(BASE) and kind.name in BASE}
+
+    def sure(s: Column) -> Column:
+        base = F.lit(None).cast("int")
+        for i, k in again.items():
+            base = F.when(s["k"] == i, k).otherwise(base)
+        known = base.isNotNull() & F.exists(out, lambda b: (b["k"] == base) & (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return (s["k"] < len(BASE)) | ((s["score"] >= threshold) & ~known)
+
+    return marked.withColumn(out, F.filter(out, sure))
 
 
 def spans_text(spans: Column) -> Column:
