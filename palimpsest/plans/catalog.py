@@ -359,9 +359,9 @@ def write_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.pressure(_levels(spark, sf_dir))
 
 
-@query(f"WITH {_FILES} SELECT level, min(smallest) AS smallest, max(largest) AS largest FROM files WHERE level = 1 AND num BETWEEN 2 AND 5 GROUP BY level")
+@query(f"WITH {_FILES} SELECT 1 AS level, min(smallest) AS smallest, max(largest) AS largest FROM files WHERE level = 1 AND num BETWEEN 0 AND 1")
 def key_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.key_range(order_files(spark, sf_dir).filter("level = 1 and num between 2 and 5")).select(F.lit(1).alias("level"), "smallest", "largest")
+    return manifest.key_range(order_files(spark, sf_dir).filter("level = 1 and num between 0 and 1")).select(F.lit(1).alias("level"), "smallest", "largest")
 
 
 @query(f"""WITH {_FILES}, w AS (SELECT *, lag(largest) OVER (PARTITION BY level ORDER BY smallest, num) AS previous FROM files)
