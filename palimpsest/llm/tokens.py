@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS, BATCH_BYTES = 300_000, 4_000_000
+CACHED_WORDS, BATCH_BYTES = 500_000, 4_000_000
 
 
 class _Index(dict):
@@ -99,23 +99,6 @@ class WordEncoder:
             begin = end
 
 
-#: Marks that follow a word; the apostrophe isn't one, since it begins contractions.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-def _by_parts(words: list[str], encode: Callable[[list[str]], list[list[int]]], known: dict[str, list[int]], limit: int) -> list[list[int]]:
-    """Ids of words, of which letters and the marks after them are different pre-tokens and often known apart."""
-    parts = []
-    for word in words:
-        core = word.rstrip(_MARKS)
-        parts.append((core, word[len(core) :]) if len(core) < len(word) and core.isalpha() and core.lower().isalpha() else (word,))
-    if len(known) > limit:
-        known.clear()
-    new = list({p for ps in parts for p in ps if p not in known})
-    known.update(zip(new, encode(new)))
-    return [known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]] for ps in parts]
-
-
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -157,9 +140,6 @@ def byte_level(path: str, end: int, limit: int = CACHED_WORDS) -> WordEncoder:
 def lower_words(path: str, end: int, limit: int = CACHED_WORDS) -> WordEncoder:
     """For a lower-casing tokenizer that drops white space: its words are what stands between ASCII blanks."""
     tokenizer = _tokenizer(path)
-
-    known: dict[str, list[int]] = {}
-
     last = {i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")}
 
     def encode(words: list[str]) -> list[list[int]]:
@@ -175,7 +155,13 @@ def lower_words(path: str, end: int, limit: int = CACHED_WORDS) -> WordEncoder:
         found.update(zip(rest, (e.ids for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
         return [found[w] for w in words]
 
-    return WordEncoder(lambda text: [text], lambda words: _by_parts(words, encode, known, limit), end, r"[^\s\S]", lambda texts: pc.ascii_split_whitespace(pc.ascii_lower(texts)), limit)
+    def split_column(texts: pa.Array) -> pa.ListArray:
+        """Marks that end a word (but for the apostrophe, which begins contractions) are a pre-token of their own, so the word is known without them."""
+        apart = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([!-&(-/:-@\[-`{-~]+)(\s|$)", r"\1 \2\3")
+        return pc.ascii_split_whitespace(apart)
+
+    # the one letter whose small form ends in a mark, which would run together with marks after it
+    return WordEncoder(lambda text: [text], encode, end, chr(0x130), split_column, limit)
 
 
 _kept: dict[tuple, WordEncoder] = {}
