@@ -166,15 +166,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- similar texts -------------------------------------------------------------------------
 #
-# Two bits of 64 find texts that are nearly the same. Texts whose sets of five-word
-# shingles are alike by 0.8 differ in some 2 % of their words, which changes about a tenth
-# of a fingerprint's bits. For these the ring is 1024 bits of two-word shingles in 128
-# segments of 8. A chain of ``CHAIN`` consecutive equal segments makes a candidate; with
-# a tenth of the bits changed at random, all but about 1 in 500 pairs have one. Then comes
-# the whole Hamming distance, and then the exact likeness of the two sets.
+# Texts are alike if the Jaccard likeness of their sets of five-word shingles is 0.8 or more.
+# Two bits of 64 find texts that are nearly the same only, and at 0.8 no Hamming search is
+# exact, so candidates come from prefix filtering, which loses no pair: order all shingles
+# the rarest first; sets x and y that are alike by t share a shingle within the first
+# |x| - ceil(t |x|) + 1 of x and the same of y. Shingles of one set only come first and
+# meet nothing, so most texts drop out there. Of what meets, sizes and positions bound the
+# likeness; then the sets themselves are compared. Only confirmed links are ever thinned.
+#
+# Equal sets are one node, named by a 64-bit hash of the set. The many (shingle, node)
+# entries travel as bytes of arrays, a row for each slice of texts and part of the range
+# of hashes, since a row for each would cost several times as much.
 
-WORDS, CHAIN, WIDE_DISTANCE, WINDOW = 16, 3, 170, 128
-SHINGLE, SIMILARITY = 5, 0.8
+SHINGLE, SIMILARITY, BLOCK, PART = 5, 0.8, 512, 1 << 20
+_SLACK = 1e-9  # bounds err on the side of comparing
 
 
 def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
@@ -186,131 +191,276 @@ def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
     return np.frombuffer(b"".join([digest(joined[s:e], 42) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :])]), ">u8").astype(np.uint64)
 
 
-def wide_simhash(text: bytes, shingle: int = 2) -> bytes:
-    """A fingerprint of 64 * ``WORDS`` bits; each shingle's hash is stretched by mixing it with a counter."""
-    words = text.lower().split()
-    if not words:
-        return bytes(8 * WORDS)
-    h, ones = _hashes(words, shingle), np.zeros(64 * WORDS, np.int64)
-    counter = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(h), 255):
-        z = h[at : at + 255, None] + counter
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        ones += np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(h)).tobytes()
-
-
-def chain_keys(fps: np.ndarray) -> np.ndarray:
-    """For each fingerprint (a row of bytes) and ring position the position and the segments of its chain."""
-    n = fps.shape[1]
-    key = np.broadcast_to(np.arange(n, dtype=np.int64) << (8 * CHAIN), fps.shape).copy()
-    for j in range(CHAIN):
-        key |= np.roll(fps, -j, axis=1).astype(np.int64) << (8 * (CHAIN - 1 - j))
-    return key
+def _set(text: bytes | None) -> tuple[int, np.ndarray]:
+    """The node of a text and its distinct shingles."""
+    words = (text or b"").lower().split()
+    own = np.unique(_hashes(words, SHINGLE)) if words else np.zeros(0, np.uint64)
+    return xxhash.xxh64_intdigest(own.tobytes(), 7), own
 
 
-@lean
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = [wide_simhash(x.as_py() or b"") for x in batch.column(1).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+def _sets(batch: pa.RecordBatch) -> list[tuple[int, np.ndarray]]:
+    return [_set(x.as_py()) for x in batch.column(1).cast(pa.binary())]
+
+
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
 @lean
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
-        ids = np.repeat(batch.column(0).to_numpy(), 8 * WORDS)
-        yield pa.RecordBatch.from_arrays([pa.array(chain_keys(fps).ravel()), pa.array(ids)], ["key", "id"])
+        sets = _sets(batch)
+        yield pa.RecordBatch.from_arrays([batch.column(0), _longs([n for n, _ in sets]), pa.array([len(s) for _, s in sets], pa.int64())], ["doc_id", "node", "size"])
 
 
 @lean
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (u, v) within the distance, from rows (key, id, fp) sorted by key and fp: a forest for each key.
-
-    Of a key that many hold, a row is compared with the ``WINDOW`` that follow it. They are
-    in order of their fingerprints there, and at each of the 128 ring positions the company
-    is another one.
-    """
-    held = None
+def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        keys = table.column("key").to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if len(keys) - cut > 4 * WINDOW:  # a long run needn't be held whole
-            cut = len(keys) - WINDOW
-            yield _forest(table, cut)
-        else:
-            yield _forest(table.slice(0, cut), cut)
-        held = table.slice(cut).combine_chunks()
-    if held is not None:
-        yield _forest(held, held.num_rows)
-
-
-def _forest(table: pa.Table, upto: int) -> pa.RecordBatch:
-    keys, ids = table.column("key").to_numpy(), table.column("id").to_numpy()
-    fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS)
-    parent = np.arange(len(keys))
+        sets = dict(_sets(batch))
+        yield pa.RecordBatch.from_arrays([_longs(list(sets)), pa.array([s.view(np.int64) for s in sets.values()], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    u, v = [], []
-    for shift in range(1, min(WINDOW, len(keys) - 1) + 1):
-        at = np.flatnonzero(keys[:-shift] == keys[shift:])
-        at = at[at < upto]
-        if not len(at):
-            break
-        near = np.bitwise_count(fps[at] ^ fps[at + shift]).sum(axis=1) <= WIDE_DISTANCE
-        for i in at[near].tolist():
-            a, b = root(i), root(i + shift)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                u.append(ids[i])
-                v.append(ids[i + shift])
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+PARTS = "part long, shingle binary, node binary, n binary"
 
 
-@lean
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.unique(_hashes(w, SHINGLE)).view(np.int64) if (w := (x.as_py() or b"").lower().split()) else [] for x in batch.column(1).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+def _scatter(by: np.ndarray, bits: int, shingle: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row for each part of the range of ``by`` (its ``bits`` highest bits) with the entries that belong there."""
+    part = (by >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = np.append(starts[1:], len(part))
+    columns = [[c[s:e].tobytes() for s, e in zip(starts, ends)] for c in (shingle[order], node[order], n[order])]
+    return pa.RecordBatch.from_arrays([pa.array(part[starts]), *(pa.array(c, pa.binary()) for c in columns)], ["part", "shingle", "node", "n"])
+
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The entries (shingle, node, n) of each part, from rows sorted by part."""
+    part, held = None, ([], [], [])
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    def whole() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.frombuffer(b"".join(h), t) for h, t in zip(held, (np.uint64, np.uint64, np.uint32)))
+
+    for batch in batches:
+        for at, p in enumerate(batch.column(0).to_pylist()):
+            if p != part and part is not None:
+                yield whole()
+                held = ([], [], [])
+            part = p
+            for h, column in zip(held, batch.columns[1:]):
+                h.append(column[at].as_py())
+    if part is not None:
+        yield whole()
+
+
+def _spread(bits: int):
+    """Texts to entries by shingle."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = dict(_sets(batch))
+            sizes = [len(s) for s in sets.values()]
+            if sum(sizes):
+                shingle = np.concatenate(list(sets.values()))
+                yield _scatter(shingle, bits, shingle, np.repeat(np.array(list(sets), np.uint64), sizes), np.zeros((len(shingle), 0), np.uint32))  # n comes later
+
+    return run
+
+
+def _shared(bits: int):
+    """Entries by shingle to entries by node, of shingles that several nodes hold, with their number."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingle, node, _ in _gather(batches):
+            order = np.lexsort((node, shingle))
+            shingle, node = shingle[order], node[order]
+            new = np.ones(len(shingle), bool)
+            new[1:] = (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])
+            shingle, node = shingle[new], node[new]
+            starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+            n = np.diff(np.append(starts, len(shingle)))
+            n = np.repeat(n, n).astype(np.uint32)
+            if (n > 1).any():
+                yield _scatter(node[n > 1], bits, shingle[n > 1], node[n > 1], n[n > 1])
+
+    return run
+
+
+def _sized(bits: int):
+    """Nodes to entries with n = 0 that hold the size in place of a shingle."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, size = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            if len(node):
+                yield _scatter(node, bits, size, node, np.zeros(len(node), np.uint32))
+
+    return run
+
+
+def _prefixes(similarity: float):
+    """Entries by node to those of prefixes: (key: shingle, node, size, at: its place among the set's, the rarest first)."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingle, node, n in _gather(batches):
+            order = np.lexsort((shingle, n, node))
+            shingle, node, n = shingle[order], node[order], n[order]
+            starts = np.flatnonzero(n == 0)  # a node's size comes first
+            count = np.diff(np.append(starts, len(n)))
+            size = np.repeat(shingle[starts].astype(np.int64), count)
+            place = np.arange(len(n)) - np.repeat(starts, count) - 1
+            at = size - np.repeat(count - 1, count) + place  # after those that no other set has
+            keep = (n > 0) & (at < size - np.ceil(similarity * size - _SLACK) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[keep].view(np.int64)), pa.array(node[keep].view(np.int64)), pa.array(size[keep]), pa.array(at[keep])], ["key", "node", "size", "at"])
+
+    return run
+
+
+def _may_be_alike(size: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets that share a shingle, none before it, can reach the likeness by their sizes and what is left of them."""
+    both = np.minimum(size[i] - at[i], size[j] - at[j])
+    long = np.maximum(size[i], size[j])
+    return (np.minimum(size[i], size[j]) >= similarity * long - _SLACK) & (both * (1 + similarity) >= similarity * (size[i] + size[j]) - _SLACK)
+
+
+def _pairs_of(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    w = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1])], ["u", "v"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first ``by`` of them, cut between runs of equal values there; the run's number is put in front."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        new = [c.to_numpy() for c in batch.columns]
+        cols = new if held is None else [np.concatenate(p) for p in zip(held, new)]
+        if not len(cols[0]):
+            continue
+        change = np.zeros(len(cols[0]), bool)
+        for c in cols[:by]:
+            change[1:] |= c[1:] != c[:-1]
+        run = np.cumsum(change)
+        cut = int(np.searchsorted(run, run[-1]))
+        if cut:
+            yield [run[:cut], *(c[:cut] for c in cols)]
+        held = [c[cut:] for c in cols]
+    if held is not None and len(held[0]):
+        yield [np.zeros(len(held[0]), np.int64), *held]
+
+
+def _first_pairs(similarity: float):
+    """Of each run of a key, sorted by size: each row with the one before and with the run's first."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[np.ndarray] | None = None  # first and latest row of a run that may go on
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            if last is not None:
+                cols = [np.concatenate(p) for p in zip(last, cols)]
+            key, node, size, at = cols
+            starts = np.concatenate([[True], key[1:] != key[:-1]])
+            first = np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))
+            j = np.flatnonzero(~starts)
+            i, j = np.concatenate([first[j], j - 1]), np.concatenate([j, j])
+            ok = (node[i] != node[j]) & _may_be_alike(size, at, i, j, similarity)
+            yield _pairs_of(node, i[ok], j[ok])
+            last = [c[[first[-1], len(key) - 1]] for c in cols]
+
+    return run
+
+
+def _all_pairs(similarity: float):
+    """Of each run of (key, low, high): all pairs of different groups; of two different blocks only those between them."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, low, high, node, size, at, label, block in _runs(batches, 3):
+            i = np.arange(len(node))
+            shift, u, v, held = 1, [], [], 0
+            while True:
+                i = i[i + shift < len(node)]
+                i = i[number[i] == number[i + shift]]
+                if not len(i):
+                    break
+                j = i + shift
+                ok = (label[i] != label[j]) & ((low[i] == high[i]) | (block[i] != block[j])) & _may_be_alike(size, at, i, j, similarity)
+                u.append(i[ok])
+                v.append(j[ok])
+                held, shift = held + int(ok.sum()), shift + 1
+                if held > PART:
+                    yield _pairs_of(node, np.concatenate(u), np.concatenate(v))
+                    u, v, held = [], [], 0
+            if held:
+                yield _pairs_of(node, np.concatenate(u), np.concatenate(v))
+
+    return run
+
+
+def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(u, v): links between nodes whose sets are alike; their components are those of all such pairs.
+
+    ``texts`` are (doc_id, text), ``nodes`` their (node, size). First each node of a key is
+    compared with two others, which links most of a family; then, between what is still
+    apart, all pairs of all keys are. Of a key that more than ``block`` nodes hold, blocks
+    are compared with blocks, each two of them a group of its own.
+    """
+    total = nodes.agg(F.sum("size")).first()[0] or 0
+    bits = max(6, (total // PART).bit_length())
+    entries = texts.mapInArrow(_spread(bits), PARTS).repartition("part").sortWithinPartitions("part")
+    by_node = scratch.keep(entries.mapInArrow(_shared(bits), PARTS).unionByName(nodes.filter("size > 0").select("node", "size").mapInArrow(_sized(bits), PARTS)), "entries")
+    prefix = by_node.repartition("part").sortWithinPartitions("part").mapInArrow(_prefixes(similarity), "key long, node long, size long, at long")
+    prefix = scratch.keep(prefix, "prefix")
+    scratch.drop("entries")
+
+    pairs = prefix.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_first_pairs(similarity), "u long, v long")
+    pairs = scratch.keep(pairs.distinct(), "pairs1")
+    met = prefix.join(prefix.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key", "left_semi").select("node").distinct()
+    ids = nodes.join(met, "node", "left_semi").select("id")
+    sets = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(_node_sets, "node long, shingles array<bigint>")
+    sets = scratch.keep(sets.dropDuplicates(["node"]), "sets")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+        common = F.size(F.array_intersect("a", "b"))
+        return both.filter(common + _SLACK >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+    links = scratch.keep(confirmed(pairs), "links1")
+    roots = components(links, Scratch(texts.sparkSession, "similar-first"))
+    labels = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
+    labelled = scratch.keep(prefix.join(labels, "node"), "labelled")
+    apart = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key", "n")
+    rows = hot_left_join(labelled, apart, ["key"], "n", labelled.count(), F.col("node")).filter("n is not null")
+    blocks = F.ceil(F.col("n") / block)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "size", "at", "label", "block")
+    rest = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_all_pairs(similarity), "u long, v long")
+    rest = scratch.keep(rest.distinct(), "pairs2")
+    scratch.drop("labelled", "prefix")
+    return scratch.keep(links.unionByName(confirmed(rest)), "links")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) of documents that are like another: their sets of five-word shingles by ``similarity`` or more.
 
-    Documents whose fingerprints are equal are alike without more (their words are the
-    same). Rows without an id are left out. Components are of links between different
-    fingerprints; ``component_id`` is the least doc_id of one.
+    Every such pair is linked. Rows without an id are left out. ``component_id`` is the
+    least doc_id that links reach.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    each = scratch.keep(texts.mapInArrow(_wide, "doc_id long, fp binary"), "each")
-    fps = scratch.keep(each.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "fps")
-    n = fps.count()
-    keyed = fps.select("id", "fp").mapInArrow(_keyed, "key long, id long")
-    keyed = scratch.keep(keyed, "keyed")
-    common = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "common")
-    keyed = hot_left_join(keyed, common, ["key"], "n", 8 * WORDS * n, F.col("id")).filter("n is not null").select("key", "id")
-    keyed = scratch.keep(keyed.join(fps.select("id", "fp"), "id"), "met")
-    scratch.drop("keyed")
-    close = keyed.select("key", "id", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_close, "u long, v long")
-    close = scratch.keep(close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "close")
-    wanted = close.select(F.col("u").alias("id")).unionByName(close.select(F.col("v").alias("id"))).distinct()
-    sets = texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_shingle_sets, "id long, shingles array<bigint>")
-    sets = scratch.keep(sets, "sets")
-    both = close.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-    common_n = F.size(F.array_intersect("a", "b"))
-    links = both.filter(common_n >= similarity * (F.size("a") + F.size("b") - common_n)).select("u", "v")
-    roots = components(links, scratch)
-    group = fps.join(roots, fps["id"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("component_id"))
-    out = hot_left_join(each, group, ["fp"], "n", each.count(), F.col("doc_id"))
+    each = scratch.keep(texts.mapInArrow(_nodes, "doc_id long, node long, size long"), "each")
+    nodes = scratch.keep(each.groupBy("node").agg(F.min("doc_id").alias("id"), F.max("size").alias("size"), F.count("*").alias("n")), "nodes")
+    roots = components(similar_links(texts, nodes, scratch, similarity, block), scratch)
+    group = scratch.keep(nodes.join(roots, "node", "left").select("node", "id", "n", F.coalesce("root", "node").alias("root")), "groups")
+    least = group.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("members"))
+    group = hot_left_join(group, least, ["root"], "members", nodes.count(), F.col("node")).select("node", "n", "component_id")
+    out = hot_left_join(each, group, ["node"], "n", each.count(), F.col("doc_id"))
     return out.select("doc_id", "component_id")
 
 

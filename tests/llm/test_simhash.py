@@ -138,3 +138,49 @@ def test_similar_groups(spark):
 def test_simhash_of_long_text():
     t = "word " * 70_000 + "other " * 1000
     assert simhash(t.encode()) == brute_fingerprint(t)
+
+
+def groups_of(spark, docs):
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return {g["doc_id"]: g["component_id"] for g in similar_groups(df).collect()}
+
+
+def brute_groups(docs):
+    sets = [shingles(t) for t in docs]
+    parent = list(range(len(docs)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= 0.8 * len(x | y):
+                links += 1
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+    return {i: root(i) for i in range(len(docs))}, links
+
+
+def vocabulary(r, n=2000):
+    return ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+
+
+def changed(r, text, words, n):
+    text = list(text)
+    for at in r.sample(range(len(text)), n):
+        text[at] = r.choice(words)
+    return " ".join(text)
+
+
+def test_variants_of_one_text(spark):
+    """Links that only the exact likeness confirms aren't thinned before it: most pairs here are under 0.8, some over."""
+    r = random.Random(21)
+    words = vocabulary(r)
+    base = [r.choice(words) for _ in range(300)]
+    docs = [changed(r, base, words, 4) for _ in range(100)]
+    want, links = brute_groups(docs)
+    assert 20 < links < 1000
+    assert groups_of(spark, docs) == want
