@@ -184,3 +184,14 @@ def test_variants_of_one_text(spark):
     want, links = brute_groups(docs)
     assert 20 < links < 1000
     assert groups_of(spark, docs) == want
+
+
+def test_large_family(spark):
+    """More variants of one template than a block holds, most pairs of which are not alike."""
+    r = random.Random(22)
+    words = vocabulary(r)
+    base = [r.choice(words) for _ in range(60)]
+    docs = [changed(r, base, words, r.choice((1, 2, 2, 3))) for _ in range(1100)]
+    want, links = brute_groups(docs)
+    assert links < 0.2 * len(docs) ** 2 / 2 and len(set(want.values())) > 20
+    assert groups_of(spark, docs) == want
