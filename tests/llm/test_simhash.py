@@ -195,3 +195,24 @@ def test_large_family(spark):
     want, links = brute_groups(docs)
     assert links < 0.2 * len(docs) ** 2 / 2 and len(set(want.values())) > 20
     assert groups_of(spark, docs) == want
+
+
+def test_appended_and_replaced_passages(spark):
+    """Likeness of 0.8 to 0.85 by one passage; all such pairs are found."""
+    r = random.Random(23)
+    words = vocabulary(r, 20_000)
+    docs = []
+    for i in range(300):
+        base = [r.choice(words) for _ in range(204)]
+        if i % 2:
+            other = base + [r.choice(words) for _ in range(r.randrange(36, 50))]
+        else:
+            n = r.randrange(13, 18)
+            at = r.randrange(20, 160)
+            other = [*base[:at], *(r.choice(words) for _ in range(n)), *base[at + n :]]
+        docs += [" ".join(base), " ".join(other)]
+    got = groups_of(spark, docs)
+    for i in range(0, len(docs), 2):
+        x, y = shingles(docs[i]), shingles(docs[i + 1])
+        assert 0.8 <= len(x & y) / len(x | y) < 0.86
+        assert got[i] == got[i + 1] == i
