@@ -216,3 +216,12 @@ def test_appended_and_replaced_passages(spark):
         x, y = shingles(docs[i]), shingles(docs[i + 1])
         assert 0.8 <= len(x & y) / len(x | y) < 0.86
         assert got[i] == got[i + 1] == i
+
+
+def test_one_word_repeated_is_not_a_copy(spark):
+    """Texts of which one word makes up most aren't alike by that."""
+    r = random.Random(24)
+    words = vocabulary(r)
+    articles = [" ".join(r.choice(words) for _ in range(40)) for _ in range(2)]
+    docs = ["a a a b", "a a a c", *(t + " -" * 100 for t in articles), articles[0].upper() + " -" * 100]
+    assert groups_of(spark, docs) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
