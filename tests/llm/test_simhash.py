@@ -225,3 +225,12 @@ def test_one_word_repeated_is_not_a_copy(spark):
     articles = [" ".join(r.choice(words) for _ in range(40)) for _ in range(2)]
     docs = ["a a a b", "a a a c", *(t + " -" * 100 for t in articles), articles[0].upper() + " -" * 100]
     assert groups_of(spark, docs) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
+
+
+def test_repeats_count_once(spark):
+    """A line repeated 5 or 100 times is the same set of shingles but for the words around it."""
+    r = random.Random(25)
+    words = vocabulary(r)
+    article, line = ([r.choice(words) for _ in range(n)] for n in (600, 12))
+    docs = [" ".join(article + line * n) for n in (5, 100)]
+    assert groups_of(spark, docs) == {0: 0, 1: 0}
