@@ -193,7 +193,7 @@ def batch_last_op_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EXPLODED} SELECT CAST(0 AS BIGINT) AS batch_id, CAST(seq - 1 AS INTEGER) AS pos, key, seq, op, value FROM rows_ WHERE batch_id < 40")
 def batch_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.explode(batch.concat(_batches(spark, sf_dir).filter("batch_id < 40")))
+    return batch.explode(batch.concat(_batches(spark, sf_dir).filter("batch_id < 40"))).withColumn("pos", F.col("pos").cast("int"))
 
 
 @query("""SELECT batch_id, count(*) AS ops, CAST(sum(bytes) AS BIGINT) AS bytes FROM (

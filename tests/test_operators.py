@@ -24,6 +24,20 @@ def test_unknown_operation(spark):
         batch.explode(bad).collect()
 
 
+def test_concat_of_all_batches(spark):
+    """Many batches of different lengths become one numbering, and no row gathers them."""
+    sizes = [(7 * b) % 5 for b in range(300)]
+    ops = [[(1, f"k{b}", f"{b}.{i}") for i in range(n)] for b, n in enumerate(sizes)]
+    rows = [(b, 50 + sum(sizes[:b]), o) for b, o in enumerate(ops)]
+    rows = rows[1::2] + rows[::2][::-1]
+    df = spark.createDataFrame(rows, "batch_id long, base_seq long, ops array<struct<op:int,key:string,value:string>>")
+    whole = batch.concat(df)
+    want = [(0, i, key, 50 + i, op, value) for i, (op, key, value) in enumerate(x for o in ops for x in o)]
+    assert [tuple(r) for r in batch.explode(whole).orderBy("pos").collect()] == want
+    assert whole.agg(F.max(F.size("ops"))).first()[0] == max(sizes)
+    assert batch.explode(batch.concat(df.limit(0))).collect() == []
+
+
 def test_compaction_keeps_reads(spark):
     rows = [(k, 10 * i + j, (i * j + len(k)) % 3 and 1, f"{k}{i}{j}") for i in range(6) for j, k in enumerate("abcde")]
     log = spark.createDataFrame(rows, LOG)
