@@ -104,11 +104,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
     language's texts are counted together in one task; that is bounded by the sample.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    langs = [(r[0], r[1]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS).collect()]
+    hashed = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    each = hashed.groupBy("lang", "h").count().groupBy("lang").agg(F.sum("count").alias("n"), F.count("*").alias("texts"))
+    langs = [(r["lang"], r["texts"]) for r in each.orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).collect()]
     if not langs:
         return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.int64), size)
-    hashed = rows.select("lang", "text", F.xxhash64("text").alias("h"))
-    limits = [(lang, (2**64 * min(1.0, 1.5 * per_lang / n)) - 2**63) for lang, n in langs]
+    limits = [(lang, (2**64 * min(1.0, 1.5 * per_lang / texts)) - 2**63) for lang, texts in langs]  # by different texts, since copies have one hash
     near = F.broadcast(docs.sparkSession.createDataFrame([(lang, int(min(top, 2**63 - 1))) for lang, top in limits], "lang string, top long"))
     sample = hashed.join(near, "lang").filter("h <= top").select("lang", "h", F.left("text", F.lit(chars)).alias("text")).distinct()
 

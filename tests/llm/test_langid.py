@@ -50,3 +50,13 @@ def test_nothing_to_learn(spark):
     assert model.langs == [] and identify(empty).collect() == []
     some = spark.createDataFrame([(1, "words here", None)], "doc_id long, text string, lang string")
     assert with_language(some, train(some)).first()["lang_pred"] == "und"
+
+
+def test_copies_do_not_thin_the_sample(spark):
+    """A language of many rows but few different texts is learnt from all of these."""
+    texts = ["the house and the garden", "a dog went over the hill", "rain fell on the old town"]
+    rows = [(t, "en") for t in texts for _ in range(400)] + [("das haus und der garten", "de")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    copied, once = train(df, per_lang=10), train(df.distinct(), per_lang=10)
+    assert copied.langs == once.langs == ["de", "en"]
+    assert (copied.grams == once.grams).all() and (copied.ranks == once.ranks).all()
