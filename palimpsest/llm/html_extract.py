@@ -28,9 +28,11 @@ TRAINING_PAGES = 600
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*")
-_RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes svg math template".split())
+_RAW = frozenset("script style textarea title".split())  # to the end of the page if they aren't closed
+_DROPPED = frozenset("noscript iframe xmp noembed noframes svg template annotation annotation-xml".split())
+_MATH = "maction math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split() + _MATH.split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag closes these if they are open, up to the element that bounds them.
@@ -119,6 +121,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         return None
 
     at, end, lower = 0, len(page), None
+    unclosed: set[str] = set()  # dropped tags that have no end tag from here on
     while at < end:
         m = _TOKEN.search(page, at)
         text_end = m.start() if m else end
@@ -142,14 +145,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if tag in _INLINE and stack[i][0] not in _INLINE:
                     break  # an inline end tag doesn't close blocks
             continue
-        if tag in _RAW:
+        if tag in _DROPPED and (tag in unclosed or tag == "svg" and m[3].endswith("/")):
+            continue
+        if tag in _RAW or tag in _DROPPED:
             lower = lower if lower is not None else page.lower()
             stop = lower.find(f"</{tag}", at) if lower.isascii() or len(lower) == end else -2
             if stop == -2:
                 found = re.compile(f"</{tag}", re.I).search(page, at)
                 stop = found.start() if found else -1
             close = page.find(">", stop) if stop >= 0 else -1
-            at = close + 1 if close >= 0 else end
+            if close >= 0:
+                at = close + 1
+            elif tag in _RAW:
+                at = end
+            else:
+                unclosed.add(tag)
             continue
         if tag == "br":
             buffer.append((" ", links > 0))

@@ -77,3 +77,17 @@ def test_pages_of_the_table(spark):
     pages = duckdb.sql(f"select page_id, html from '{SF}/pages.parquet'").fetchall()
     got = {r["page_id"]: r["text"] for r in main_text(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
     assert got == {i: article(h) for i, h in pages}
+
+
+def test_foreign_and_unclosed_elements():
+    """An empty drawing, a formula or what isn't closed takes no text of the page with it."""
+    def texts(page):
+        return [t for _, t in parse(page)[1]]
+
+    for odd in ("<svg/>", '<svg width="1" />', "<math/>", "<noscript>", "<template>", "<svg>", "<svg><path/></svg>", "<noscript>no</noscript>"):
+        assert texts(f"<p>one {odd} two</p><p>three</p>") == ["one two", "three"]
+    assert texts("<p>as <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> here</p>") == ["as x=2 here"]
+    assert texts("<p>one</p><svg/><p>two</p><svg>no</svg><p>three</p>") == ["one", "two", "three"]
+    for raw in ("script", "style", "textarea", "title"):
+        assert texts(f"<p>one</p><{raw}>no <p>no</p>") == ["one"]
+    assert texts("<p>one" + "<svg>" * 3 + "two</p>") == ["onetwo"]
