@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tokens import byte_level, shared
+from palimpsest.llm.tokens import shared
 from palimpsest.llm.workers import lean
 from palimpsest.sources.scratch import Scratch
 
@@ -96,13 +96,14 @@ def _merger(length: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return merge
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = LENGTH, windows: int = OPEN_WINDOWS, min_piece: int = MIN_PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = LENGTH, windows: int = OPEN_WINDOWS, min_piece: int = MIN_PIECE, id_col: str = "doc_id", text_col: str = "text", control: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. Rows that repeat an id are documents of
     their own, and so are rows with a null one. Each token lies in one piece; a sequence's
-    pieces follow each other without gap from offset 0. Columns but id and text are not
-    read. An empty table gives no piece.
+    pieces follow each other without gap from offset 0. With ``control`` a control token's
+    string in a text is that token, as in the library's plain call; without, it is text.
+    Columns but id and text are not read. An empty table gives no piece.
     """
     scratch = Scratch(docs.sparkSession, "packing")
 
@@ -111,7 +112,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = LE
 
     @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared(byte_level, tokenizer_path, end_id)
+        encoder = shared(tokenizer_path, end_id, control)
         space = Windows(length, windows, min_piece, TaskContext.get().partitionId() << 40)
         held = space.held
         for batch in batches:

@@ -1,17 +1,20 @@
 """SentencePiece BPE by vectorised merge rounds.
 
-New words of many texts lie in one flat array of symbols. In a round every word finds
-the least rank among its neighbouring pairs (a segmented minimum) and merges the
-leftmost pair that has it, all words at once; the array is compacted, ranks are looked up
-again only beside a merge, and words in which no pair is left drop out. One merge a word
-and round is the order in which the library merges, so ids are the same. Words of more
-than ``LONG`` symbols would need too many rounds and use a heap.
+New words of many texts lie in one flat array of symbols. Words are cut where no piece
+holds the two characters that meet there, since no merge can reach over that place. In a
+round every segment finds the least rank among its neighbouring pairs (a segmented
+minimum) and merges all pairs that have it, the leftmost first, all segments at once; the
+array is compacted, ranks are looked up again only beside a merge, and segments in which
+no pair is left drop out.
+
+Merging several pairs of a segment in one round is what the library does one by one, as
+long as a merge only makes pairs of a higher rank; where one makes a lower or equal rank
+with its neighbours, nothing after it is merged in that round.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -24,11 +27,41 @@ from pyspark.sql import functions as F
 from palimpsest.llm.tokens import WordEncoder
 from palimpsest.llm.workers import lean
 
-LONG = 64
 _NONE = np.int64(1 << 40)
 _MARK = "▁"  # stands for a blank
 
 
+_USER_DEFINED = 4
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a protocol buffer: numbers, and the bytes of the rest."""
+
+    def number(at: int) -> tuple[int, int]:
+        n = shift = 0
+        while True:
+            n |= (data[at] & 127) << shift
+            if data[at] < 128:
+                return n, at + 1
+            at, shift = at + 1, shift + 7
+
+    at = 0
+    while at < len(data):
+        tag, at = number(at)
+        if tag & 7 == 0:
+            value, at = number(at)
+            yield tag >> 3, value
+            continue
+        size, at = number(at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
+def _has_user_defined(model: bytes) -> bool:
+    """Whether a model has pieces (field 1) of the user (type, field 3, is 4), which are matched before any merge."""
+    return any((3, _USER_DEFINED) in _fields(piece) for n, piece in _fields(model) if n == 1)
+
+
 class Merges:
     """The tables of a BPE model: symbols (pieces, and characters that only occur within pieces), pairs and their ranks."""
 
@@ -37,6 +70,8 @@ class Merges:
         normal = [i for i in range(n) if not (processor.is_control(i) or processor.is_unknown(i) or processor.is_byte(i))]
         if any(processor.is_unused(i) for i in normal):
             raise ValueError("models with unused pieces aren't supported")
+        if _has_user_defined(processor.serialized_model_proto()):
+            raise ValueError("models with pieces of the user aren't supported")
         piece = {processor.id_to_piece(i): i for i in normal}
         self.byte_ids = [processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = processor.unk_id()
@@ -57,10 +92,16 @@ class Merges:
                 a, b = self.symbol.get(p[:cut]), self.symbol.get(p[cut:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = (rank[i], i)
-        self.pairs = pairs
+        # results that may make a pair of their own rank or a lower one
+        lowest: dict[int, int] = {}
+        for key, (r, _) in pairs.items():
+            for part in divmod(key, self.size):
+                lowest[part] = min(lowest.get(part, r), r)
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
         self.results = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
+        self.may_stop = np.array([lowest.get(i, int(_NONE)) <= r for r, i in zip(self.ranks.tolist(), self.results.tolist())], bool)
+        self.meet = np.unique(np.array([self._bigram(a, b) for p in piece for a, b in zip(map(ord, p), map(ord, p[1:]))], np.int64))
         self.inner_mark = any(_MARK in p.lstrip(_MARK) for p in piece)
         self.lone_newline = not any("\n" in p and len(p) > 1 for p in piece)
 
@@ -82,50 +123,36 @@ class Merges:
                 out.append(self.unknown)
         return out
 
-    def _by_heap(self, symbols: list[int]) -> list[int]:
-        n = len(symbols)
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        alive = [True] * n
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def push(i: int, j: int) -> None:
-            if symbols[i] >= 0 and symbols[j] >= 0 and (found := self.pairs.get(symbols[i] * self.size + symbols[j])):
-                heapq.heappush(heap, (found[0], i, j, symbols[i], symbols[j]))
-
-        for i in range(n - 1):
-            push(i, i + 1)
-        while heap:
-            _, i, j, a, b = heapq.heappop(heap)
-            if not (alive[i] and alive[j] and after[i] == j and symbols[i] == a and symbols[j] == b):
-                continue
-            symbols[i] = self.pairs[a * self.size + b][1]
-            alive[j] = False
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-                push(i, after[i])
-            if before[i] >= 0:
-                push(before[i], i)
-        return [s for s, ok in zip(symbols, alive) if ok]
+    @staticmethod
+    def _bigram(a, b):
+        return (a << 21) | b
+
+    def _segments(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all words and the number of each one's segment."""
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        chars, at = np.unique(text, return_inverse=True)
+        symbols = np.array([self.symbol.get(chr(c), -c - 1) for c in chars.tolist()], np.int64)[at] if len(chars) else text
+        new = np.zeros(len(text), bool)
+        new[np.cumsum([0, *map(len, words)])[:-1]] = True
+        met = self._bigram(text[:-1], text[1:])
+        place = np.searchsorted(self.meet, met)
+        place[place == len(self.meet)] = 0
+        new[1:] |= self.meet[place] != met if len(self.meet) else True
+        return symbols, np.cumsum(new) - 1
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """The ids of each word."""
-        get = self.symbol.get
-        out: list[list[int]] = [[]] * len(words)
-        short, flat, lens = [], [], []
-        for w, word in enumerate(words):
-            symbols = [get(c, -ord(c) - 1) for c in word]
-            if len(symbols) > LONG:
-                out[w] = self._ids(self._by_heap(symbols))
-            else:
-                short.append(w)
-                flat += symbols
-                lens.append(len(symbols))
-        sym, owner = np.array(flat, np.int64), np.repeat(np.arange(len(short)), lens)
-        # pair[i] is the table position of symbols i and i + 1 of a word
+        if not all(words):
+            full = iter(self.encode([w for w in words if w]))
+            return [next(full) if w else [] for w in words]
+        if not words:
+            return []
+        sym, owner = self._segments(words)
+        first = owner[np.cumsum([0, *map(len, words)])[:-1]]  # each word's first segment
+        segments = int(owner[-1]) + 1
+        # pair[i] is the table position of symbols i and i + 1 of a segment
         pair = np.full(len(sym), -1)
-        if len(sym) > 1:
-            pair[:-1] = np.where(owner[:-1] == owner[1:], self.lookup(sym[:-1], sym[1:]), -1)
+        pair[:-1] = np.where(owner[:-1] == owner[1:], self.lookup(sym[:-1], sym[1:]), -1)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(sym):
             rank = np.where(pair >= 0, self.ranks[pair], _NONE)
@@ -139,8 +166,7 @@ class Merges:
                 sizes, least = sizes[least != _NONE], least[least != _NONE]
                 if not len(sym):
                     break
-            hit = np.flatnonzero(rank == np.repeat(least, sizes))
-            hit = hit[np.concatenate([[True], owner[hit[1:]] != owner[hit[:-1]]])]  # the leftmost of each word
+            hit = self._together(np.flatnonzero(rank == np.repeat(least, sizes)), sym, owner, pair)
             sym[hit] = self.results[pair[hit]]
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
@@ -155,18 +181,46 @@ class Merges:
             left = hit[hit > 0] - 1
             left = left[owner[left] == owner[left + 1]]
             pair[left] = self.lookup(sym[left], sym[left + 1])
-        if done:
-            owners, symbols = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
-            order = np.argsort(owners, kind="stable")
-            symbols = symbols[order]
-            ends = np.cumsum(np.bincount(owners, minlength=len(short))).tolist()
-            plain = bool(((symbols >= 0) & (symbols < self.pieces)).all())
-            values, at = symbols.tolist(), 0
-            for w, end in zip(short, ends):
-                out[w] = values[at:end] if plain else self._ids(values[at:end])
-                at = end
+        owners, symbols = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+        symbols = symbols[np.argsort(owners, kind="stable")]
+        ends = np.cumsum(np.bincount(owners, minlength=segments))[np.append(first[1:], segments) - 1].tolist()
+        plain = bool(((symbols >= 0) & (symbols < self.pieces)).all())
+        values, out, at = symbols.tolist(), [], 0
+        for end in ends:
+            out.append(values[at:end] if plain else self._ids(values[at:end]))
+            at = end
         return out
 
+    def _together(self, hit: np.ndarray, sym: np.ndarray, owner: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Of the pairs with their segment's least rank those that merge in one round: the leftmost of what overlaps, up to one that stops the round."""
+        of = owner[hit]
+        new = np.concatenate([[True], of[1:] != of[:-1]])  # a segment's first
+        apart = new | np.concatenate([[True], np.diff(hit) > 1])
+        run = np.maximum.accumulate(np.where(apart, np.arange(len(hit)), 0))
+        kept = (np.arange(len(hit)) - run) % 2 == 0  # of neighbours that overlap every other one
+        hit, new = hit[kept], new[kept]
+        if new.all():
+            return hit
+        may = np.flatnonzero(self.may_stop[pair[hit]])
+        stops = np.zeros(len(hit), bool)
+        if len(may):
+            at, made = hit[may], self.results[pair[hit[may]]]
+            rank = self.ranks[pair[at]]
+            beside = np.maximum(at - 1, 0)
+            left = np.where((at > 0) & (owner[beside] == owner[at]), sym[beside], -1)
+            follows = (may > 0) & (hit[may - 1] == at - 2)  # the one before has just become a symbol
+            left[follows] = self.results[pair[hit[may[follows] - 1]]]
+            beside = np.minimum(at + 2, len(sym) - 1)
+            right = np.where((at + 2 < len(sym)) & (owner[beside] == owner[at]), sym[beside], -1)
+            for a, b in ((left, made), (made, right)):
+                found = self.lookup(a, b)
+                stops[may] |= (found >= 0) & (self.ranks[found] <= rank)
+        if not stops.any():
+            return hit
+        before = np.cumsum(stops) - stops
+        start = np.maximum.accumulate(np.where(new, np.arange(len(hit)), 0))
+        return hit[before == before[start]]
+
 
 def piece_encoder(processor) -> WordEncoder:
     """Encodes texts as ``processor`` does (identity normalisation, a blank put before the text), with its end id last."""

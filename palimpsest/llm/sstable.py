@@ -20,7 +20,7 @@ import struct
 import uuid
 import zlib
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tokens import WordEncoder, lower_words, shared
+from palimpsest.llm.tokens import largest_id, shared
 from palimpsest.llm.workers import lean
 from palimpsest.sources.scratch import Scratch
 
@@ -73,16 +73,24 @@ def _probes(key: bytes, bits: int) -> list[int]:
     return [(h + i * step) % bits for i in range(PROBES)]
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a Hadoop address and the path in it; S3 has other names for Arrow."""
+    scheme, colon, rest = uri.partition(":")
+    return pafs.FileSystem.from_uri(f"s3:{rest}" if colon and scheme in ("s3a", "s3n") else uri)
+
+
 class Writer:
     """Writes entries that come in key order; block by block, so memory is a block, the index and the keys' hashes."""
 
     def __init__(self, out, width: int):
-        self.out, self.width, self.dtype = out, width, "<u2" if width == 2 else "<u4"
+        self.out, self.width, self.dtype, self.top = out, width, "<u2" if width == 2 else "<u4", (1 << 8 * width) - 1
         self.block, self.entries, self.last = bytearray(), 0, b""
         self.index, self.keys = bytearray(), []
         self.offset = self.docs = self.tokens = self.tokens_before = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > self.top:
+            raise ValueError(f"id {int(ids.max())} doesn't fit in {self.width} bytes")
         key, value = key_of(doc_id), ids.astype(self.dtype).tobytes()
         shared = 0
         if self.entries:
@@ -168,22 +176,24 @@ class Table:
         return found
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, make: Callable[[str, int], WordEncoder] = lower_words, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", control: bool = True) -> DataFrame:
     """Encodes documents and writes a shard for each range of identifiers; (shard, path, docs, tokens, start), a row each.
 
     Rows are range-partitioned by identifier into as many shards as shuffles have
     partitions. A task writes under a name of its own and reports it, so of attempts that
     are repeated or lost only the one that counts is listed. ``start`` is the tokens of all
-    shards before it, summed on the driver over one row per shard.
+    shards before it, summed on the driver over one row per shard. Ids take two bytes where
+    the vocabulary's largest one fits, else four.
     """
     spark = docs.sparkSession
+    width = 2 if max(largest_id(tokenizer_path), end_id) < 1 << 16 else 4
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     @lean
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared(make, tokenizer_path, end_id)
+        encoder = shared(tokenizer_path, end_id, control)
         shard = TaskContext.get().partitionId()
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         name = f"part-{shard:06d}-{uuid.uuid4().hex}.sst"
         with fs.open_output_stream(f"{root}/{name}") as out:
@@ -211,7 +221,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                fs, name = pafs.FileSystem.from_uri(path)
+                fs, name = file_system(path)
                 with fs.open_input_file(name) as file:
                     rows = []
                     for doc, start, ids in Table(file).scan():
@@ -231,8 +241,9 @@ def written_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> D
     """Writes shards to the shared folder and reads them back: doc_id, start, n_tokens, ids_crc32.
 
     A null or empty text is the end id alone. Documents without an id come first; rows
-    that repeat an id follow each other by text. Columns but id and text are not read. An
-    empty table makes empty shards.
+    that repeat an id follow each other by text. A control token's string in a text is that
+    token, as in the library's plain call. Columns but id and text are not read. An empty
+    table makes empty shards.
     """
     scratch = Scratch(docs.sparkSession, "shards")
     return read_shards(write_shards(docs, f"{scratch.path}/sst", tokenizer_path, end_id))

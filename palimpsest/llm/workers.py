@@ -9,14 +9,20 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
-ROWS = 1000
+ROWS, BYTES = 1000, 8 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of a bounded number, so that what is made of a batch stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS, limit: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of a bounded number and, but for single rows beyond it, of bounded bytes, so that what is made of a batch stays small."""
     for batch in batches:
-        for at in range(0, max(1, batch.num_rows), rows):
-            yield batch.slice(at, rows)
+        todo = [batch.slice(at, rows) for at in range(0, max(1, batch.num_rows), rows)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > limit:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def give_back() -> None:

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -8,9 +9,11 @@ import pyarrow.fs as pafs
 import pytest
 
 from palimpsest.llm.packing import Windows, merged, pack
-from palimpsest.llm.pieces import Merges, encode_decode, piece_encoder
-from palimpsest.llm.sstable import Table, id_of, key_of, read_shards, write_shards, written_and_read
-from palimpsest.llm.tokens import byte_level, lower_words
+from palimpsest.llm.pieces import Merges, _has_user_defined, encode_decode, piece_encoder
+from palimpsest.llm import tokens
+from palimpsest.llm.sstable import Table, Writer, file_system, id_of, key_of, read_shards, write_shards, written_and_read
+from palimpsest.llm.tokens import encoder
+from palimpsest.llm.workers import slices
 from palimpsest.llm.vocabularies import vocabulary
 
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -20,33 +23,78 @@ BYTE, WORD, PIECE = (vocabulary(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.
 
 def texts():
     r = random.Random(0)
-    odd = [None, "", " ", "  ", "a  b", "\n\n x\ty", "▁▁ a▁b", "😀 ﬁ é é ", "x" * 300 + " " + "ab" * 500, "<s> </s> <0x41> <unk>", "\x00\x1c a\xa0b c", "日本語 テキスト", "it's I'LL don't  'S", "a" * 70_000, "12345 678\r\n  \n  foo \n bar   ", "<|endoftext|> <|startoftext|>", "!\x1c? \x85x", "İ. İstanbul ΑΣ Σ ǅ ŉ'ß ⅷ²", "\x01a \x01 b"]
+    odd = [None, "", " ", "  ", "a  b", "\n\n x\ty", "▁▁ a▁b", "😀 ﬁ é é ", "x" * 300 + " " + "ab" * 500, "<s> </s> <0x41> <unk>", "\x00\x1c a\xa0b c", "日本語 テキスト", "it's I'LL don't  'S", "a" * 70_000, "12345 678\r\n  \n  foo \n bar   ", "<|endoftext|> <|startoftext|>", "hi <|startoftext|> there", "a<|endoftext|>b <|ENDOFTEXT|>", "<|endoftext|>", "<|endoftext|", "!\x1c? \x85x", "İ. İstanbul ΑΣ Σ ǅ ŉ'ß ⅷ²", "\x01a \x01 b"]
     odd += ["".join(r.choice(" \n\tab'sé1!▁İ́, ") for _ in range(r.randrange(60))) for _ in range(300)]
     return odd + ["The quick brown fox. " * 50] * 20
 
 
-def library(path):
+def library(path, control=True):
     t = tokenizers.Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    if not control:
+        t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("limit", [10, 400_000])
 def test_encoders_equal_the_libraries(limit):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
-    for encoder, want in ((byte_level(BYTE, 0, limit), library(BYTE)), (lower_words(WORD, 1, limit), library(WORD)), (piece_encoder(sp), lambda t: sp.encode(t or ""))):
+    ours = [(encoder(path, end, control, limit), library(path, control)) for path, end in ((BYTE, 0), (WORD, 1)) for control in (True, False)]
+    for own, want in (*ours, (piece_encoder(sp), lambda t: sp.encode(t or ""))):
         column = pa.array(texts())
         for _ in range(2):
-            got = [x.tolist() for part in (column.slice(0, 100), column.slice(100)) for x in encoder.encode_all(part)]
-            assert got == [[*want(t), encoder.end] for t in texts()]
-    assert list(byte_level(BYTE, 0).encode_all(pa.array([], pa.string()))) == []
+            got = [x.tolist() for part in (column.slice(0, 100), column.slice(100)) for x in own.encode_all(part)]
+            assert got == [[*want(t), own.end] for t in texts()]
+    assert list(encoder(BYTE, 0).encode_all(pa.array([], pa.string()))) == []
 
 
-def test_rounds_and_heap_agree():
-    merges = Merges(sentencepiece.SentencePieceProcessor(model_file=PIECE))
-    r = random.Random(5)
-    words = ["▁" + "".join(r.choice("aabetnos") for _ in range(r.randrange(1, 60))) for _ in range(300)]
-    assert merges.encode(words) == [merges._ids(merges._by_heap([merges.symbol.get(c, -ord(c) - 1) for c in w])) for w in words]
+def test_control_strings_are_the_plain_library_s():
+    assert library(WORD)("hi <|startoftext|> there")[1] == 49406 and library(BYTE)("<|endoftext|>") == [50256]
+    assert next(encoder(BYTE, 0).encode_all(pa.array(["<|endoftext|>"]))).tolist() == [50256, 0]
+    assert 50256 not in next(encoder(BYTE, 0, control=False).encode_all(pa.array(["<|endoftext|>"]))).tolist()
+
+
+def test_files_of_another_kind_encode_whole_texts(tmp_path):
+    file = json.load(open(BYTE))
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(file))
+    path = str(tmp_path / "other.json")
+    assert [x.tolist() for x in encoder(path, 7).encode_all(pa.array(texts()))] == [[*library(path)(t), 7] for t in texts()]
+
+
+def test_word_table_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_BYTES", 20_000)
+    own, want, r = encoder(BYTE, 0), library(BYTE), random.Random(3)
+    for _ in range(30):
+        batch = [" ".join("".join(r.choice("abcdefg") for _ in range(r.choice([3, 8, 5000]))) for _ in range(20)) for _ in range(5)]
+        assert [x.tolist() for x in own.encode_all(pa.array(batch))] == [[*want(t), 0] for t in batch]
+        assert max(map(len, own.index), default=0) <= tokens.KEPT_BYTES and len(own.flat) <= 1 << 17
+
+
+def test_slices_are_bounded_in_bytes():
+    batch = pa.record_batch({"x": ["a" * n for n in (10, 5000, 10, 10, 9000, 10)]})
+    parts = list(slices([batch], rows=4, limit=1000))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert all(p.num_rows == 1 or p.nbytes <= 1000 for p in parts)
+    assert [p.num_rows for p in slices([batch.slice(0, 0)])] == [0]
+
+
+def test_rounds_equal_the_library_on_long_words():
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    merges, r = Merges(sp), random.Random(5)
+    words = ["▁" + "".join(r.choice(alphabet) for _ in range(n)) for alphabet in ("aabetnos", "ab", "a", "thein", "xé日@") for n in (1, 2, 63, 64, 65, 500, 20_000)]
+    words += ["▁" + "".join(r.choice("aabetnosrh") for _ in range(r.randrange(1, 90))) for _ in range(2000)]
+    assert merges.encode(words) == [sp.encode(w[1:]) for w in words]
+    assert merges.encode([]) == []
+
+
+def test_pieces_of_the_user_are_refused():
+    assert _has_user_defined(b"\x0a\x05\x0a\x01x\x18\x04") and not _has_user_defined(b"\x0a\x05\x0a\x01x\x18\x01")
+
+
+def test_ids_too_large_for_their_width(tmp_path):
+    with pytest.raises(ValueError, match="fit"):
+        Writer(None, 2).add(1, np.array([65536], np.uint32))
+    assert isinstance(file_system(f"file://{tmp_path}")[0], pafs.LocalFileSystem)
 
 
 def frame(spark):
