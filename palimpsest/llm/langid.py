@@ -17,16 +17,16 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.workers import lean
 
-PROFILE, SAMPLE_PER_LANG, SAMPLE_CHARS, SAMPLE_LANGS = 400, 1000, 20_000, 512
+PROFILE, SAMPLE_PER_LANG = 400, 1000
 UNKNOWN = "und"
 _BLANK = 0x20
 _BITS = 21
-_TOP = 1 << (3 * _BITS)
+PARTS = 16  # of a language's sample, counted apart
 
 
 def _letters() -> np.ndarray:
@@ -57,74 +57,100 @@ def _codes(text: str) -> np.ndarray:
     return x if len(x) > 2 else x[:0]
 
 
-def profile(text: str, size: int = PROFILE) -> np.ndarray:
-    """The n-grams of a text by descending frequency; ties by n-gram, so that ranks are certain."""
+def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a text, sorted, and how often each occurs."""
     x = _codes(text)
     if not len(x):
-        return x
+        return x, np.zeros(0, np.int64)
     b = np.uint64(_BITS)
     two = (x[:-1] << b) | x[1:]
     three = (two[:-1] << b) | x[2:]
     grams = np.sort(np.concatenate([x[x != _BLANK], two, three]))
     starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-    counts = np.diff(np.append(starts, len(grams)))
-    if len(starts) > size:  # what can't be among the first goes before the exact sort
+    return grams[starts], np.diff(np.append(starts, len(grams)))
+
+
+def _most(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """The n-grams by descending frequency; ties by n-gram, so that ranks are certain."""
+    if len(grams) > size:  # what can't be among the first goes before the exact sort
         least = np.partition(counts, len(counts) - size)[len(counts) - size]
-        starts, counts = starts[counts >= least], counts[counts >= least]
-    order = np.argsort(-counts, kind="stable")[:size]
-    return grams[starts[order]]
+        grams, counts = grams[counts >= least], counts[counts >= least]
+    return grams[np.argsort(-counts, kind="stable")[:size]]
+
+
+def profile(text: str, size: int = PROFILE) -> np.ndarray:
+    """A text's most frequent n-grams in order."""
+    return _most(*_counts(text), size)
 
 
 class Model(NamedTuple):
     langs: list[str]
     grams: np.ndarray  # sorted n-grams of all profiles
-    ranks: np.ndarray  # their rank by language; ``size`` where it lacks them
+    starts: np.ndarray  # where each one's entries begin, and the end
+    lang: np.ndarray  # entries: the number of a language that has it
+    rank: np.ndarray  # and its rank there
     size: int
 
+    @staticmethod
+    def of(profiles: dict[str, np.ndarray], size: int) -> Model:
+        langs = sorted(profiles)
+        gram = np.concatenate([profiles[n] for n in langs] or [np.zeros(0, np.uint64)]).astype(np.uint64)
+        lang = np.repeat(np.arange(len(langs)), [len(profiles[n]) for n in langs])
+        rank = np.concatenate([np.arange(len(profiles[n])) for n in langs] or [np.zeros(0, np.int64)])
+        order = np.lexsort((lang, gram))
+        grams, starts = np.unique(gram[order], return_index=True)
+        return Model(langs, grams, np.append(starts, len(gram)), lang[order], rank[order], size)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         own = profile(text or "", self.size)
         if not len(own) or not self.langs:
             return UNKNOWN, 0.0
-        at = np.searchsorted(self.grams, own)
-        at[at == len(self.grams)] = 0
-        known = self.grams[at] == own
-        rank = np.where(known[:, None], self.ranks[at], self.size)
-        place = np.abs(rank - np.arange(len(own))[:, None])
-        place[rank == self.size] = self.size
-        distance = place.sum(axis=0)
+        # every n-gram counts as far as can be, but for the languages that have it
+        distance = np.full(len(self.langs), self.size * len(own), np.int64)
+        if len(self.grams):
+            at = np.searchsorted(self.grams, own)
+            at[at == len(self.grams)] = 0
+            place = np.flatnonzero(self.grams[at] == own)
+            begin, n = self.starts[at[place]], self.starts[at[place] + 1] - self.starts[at[place]]
+            entry = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            nearer = self.size - np.abs(self.rank[entry] - np.repeat(place, n))
+            distance -= np.bincount(self.lang[entry], nearer, len(self.langs)).astype(np.int64)
         best = int(np.argmin(distance))
         return self.langs[best], float(1 - distance[best] / (self.size * len(own)))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_CHARS) -> Model:
-    """Profiles from at most ``per_lang`` labelled rows of each language, of each the first ``chars`` code points.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, per_lang: int = SAMPLE_PER_LANG) -> Model:
+    """Profiles of every language from at most ``per_lang`` of its different texts, read whole.
 
-    The sample is the different texts least by hash, so it doesn't depend on the layout
-    of the input and copies can't crowd it. At most ``SAMPLE_LANGS`` languages, the most frequent. Each
-    language's texts are counted together in one task; that is bounded by the sample.
+    The sample is the different texts least by hash, all of them where a language has
+    few, so it doesn't depend on the layout of the input and copies change nothing. A
+    limit on the hash, ten standard deviations above what is wanted, cuts rows before
+    they move. N-grams are counted by parts of a language's texts; the driver gets a
+    profile's worth of rows for each language. A language whose texts have no letter
+    isn't learnt.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     hashed = rows.select("lang", "text", F.xxhash64("text").alias("h"))
-    each = hashed.groupBy("lang", "h").count().groupBy("lang").agg(F.sum("count").alias("n"), F.count("*").alias("texts"))
-    langs = [(r["lang"], r["texts"]) for r in each.orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).collect()]
-    if not langs:
-        return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.int64), size)
-    limits = [(lang, (2**64 * min(1.0, 1.5 * per_lang / texts)) - 2**63) for lang, texts in langs]  # by different texts, since copies have one hash
-    near = F.broadcast(docs.sparkSession.createDataFrame([(lang, int(min(top, 2**63 - 1))) for lang, top in limits], "lang string, top long"))
-    sample = hashed.join(near, "lang").filter("h <= top").select("lang", "h", F.left("text", F.lit(chars)).alias("text")).distinct()
-
-    def top_grams(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        texts = frame.sort_values(["h", "text"])["text"].head(per_lang)
-        grams = profile(" ".join(texts), size)
-        return pd.DataFrame({"lang": key[0], "rank": np.arange(len(grams)), "gram": grams.view(np.int64)})
-
-    got = sample.groupBy("lang").applyInPandas(top_grams, "lang string, rank long, gram long").toPandas()
-    names = sorted(got["lang"].unique())
-    grams = np.unique(got["gram"].to_numpy().view(np.uint64))
-    ranks = np.full((len(grams), len(names)), size, np.int64)
-    at = np.searchsorted(grams, got["gram"].to_numpy().view(np.uint64))
-    ranks[at, got["lang"].map({n: i for i, n in enumerate(names)}).to_numpy()] = got["rank"].to_numpy()
-    return Model(names, grams, ranks, size)
+    # different hashes are counted, so copies combine before the shuffle
+    texts = hashed.groupBy("lang").agg(F.count_distinct("h").alias("texts")).collect()
+    wanted = per_lang + 10 * per_lang**0.5 + 50
+    limits = [(r["lang"], int(min(2**63 - 1, 2**64 * wanted / r["texts"] - 2**63))) for r in texts]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, top long"))  # a row for each language
+    near = hashed.join(limits, "lang").filter("h <= top").select("lang", "h", "text").dropDuplicates(["lang", "h"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    sample = near.withColumn("rank", rank).filter(F.col("rank") <= per_lang).select("lang", "text", F.pmod("h", F.lit(PARTS)).alias("part"))
+
+    def count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        each = [_counts(t) for t in frame["text"]]
+        grams, at = np.unique(np.concatenate([g for g, _ in each]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([c for _, c in each]), len(grams)).astype(np.int64)
+        return pd.DataFrame({"lang": key[0], "gram": grams.astype(np.uint64).view(np.int64), "n": n})
+
+    counted = sample.groupBy("lang", "part").applyInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    first = counted.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= size)
+    got = first.select("lang", "rank", "gram").toPandas().sort_values(["lang", "rank"])
+    return Model.of({lang: part["gram"].to_numpy(np.int64).view(np.uint64) for lang, part in got.groupby("lang")}, size)
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -134,7 +160,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", id_col:
     distances go to the first language by name. The score is 1 less the distance's share
     of the largest one possible. Rows that repeat give a row each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred n-grams for each of at most SAMPLE_LANGS languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a profile of n-grams for each language
 
     @lean
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,4 +59,50 @@ def test_copies_do_not_thin_the_sample(spark):
     df = spark.createDataFrame(rows, "text string, lang string")
     copied, once = train(df, per_lang=10), train(df.distinct(), per_lang=10)
     assert copied.langs == once.langs == ["de", "en"]
-    assert (copied.grams == once.grams).all() and (copied.ranks == once.ranks).all()
+    assert (copied.grams == once.grams).all() and (copied.rank == once.rank).all() and (copied.lang == once.lang).all()
+
+
+def test_languages_of_one_text_each_in_many_copies(spark):
+    df = spark.range(60_000).selectExpr("id as doc_id", "concat('lang', id % 6) as lang", "concat('words of language ', repeat(chr(int(97 + id % 6)), 5)) as text")
+    model = train(df)
+    assert model.langs == [f"lang{i}" for i in range(6)]
+    got = with_language(df, model).groupBy("lang_pred").count().collect()
+    assert {r[0]: r[1] for r in got} == {f"lang{i}": 10_000 for i in range(6)}
+
+
+def test_texts_are_learnt_whole_and_languages_without_limit(spark):
+    late = "x " * 30_000 + "zq " * 90_000  # what is frequent comes after a long beginning
+    rows = [(late, "late")] + [(f"{chr(0x4E00 + 2 * i)}{chr(0x4E01 + 2 * i)} words {i}", f"l{i:03}") for i in range(700)]
+    model = train(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.langs) == 701 and model.predict("zq zq")[0] == "late" and model.predict(rows[600][0])[0] == rows[600][1]
+
+
+def test_predictions_equal_a_plain_out_of_place_distance(spark):
+    """Profiles and distances by dictionaries, over all texts of a small table."""
+    rows = duckdb.sql(f"select doc_id, text, lang from '{SF}/documents.parquet'").fetchall()
+
+    def ranked(texts, size):
+        counts = {}
+        for text in texts:
+            words = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text).split()
+            line = f" {' '.join(words)} " if words else ""
+            for n in (1, 2, 3):
+                for i in range(len(line) - n + 1):
+                    g = line[i : i + n]
+                    if g != " ":
+                        counts[g] = counts.get(g, 0) + 1
+        return {g: r for r, g in enumerate(sorted(counts, key=lambda g: (-counts[g], sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))))[:size])}
+
+    size = 400
+    learn = {}
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5 and text is not None and lang is not None:
+            learn.setdefault(lang, set()).add(text)
+    profiles = {lang: ranked(texts, size) for lang, texts in learn.items()}
+    got = {r["doc_id"]: r for r in identify(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    for i, text, _ in rows:
+        own = ranked([text or ""], size)
+        distance = {lang: sum(abs(p[g] - r) if g in p else size for g, r in own.items()) for lang, p in profiles.items()}
+        best = min(sorted(distance), key=distance.get) if own else "und"
+        assert got[i]["lang_pred"] == best
+        assert abs(got[i]["score"] - (1 - distance[best] / (size * len(own)) if own else 0)) < 1e-12
