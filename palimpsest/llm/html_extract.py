@@ -14,7 +14,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -84,41 +84,67 @@ def _kind(attrs: str) -> str:
     return found.most_common(1)[0][0] if found else ""
 
 
+class _Open:
+    """The open elements of a page, with the places of each tag, so that a tag costs the same however deep it lies."""
+
+    def __init__(self) -> None:
+        self.tags, self.nodes = ["#root"], [0]  # inline elements share their block's node
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag not in _INLINE:
+            self.blocks.append(len(self.tags))
+        self.tags.append(tag)
+        self.nodes.append(node)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element with one of the tags; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def last_block(self) -> int:
+        return self.blocks[-1] if self.blocks else 0
+
+    def cut(self, depth: int) -> None:
+        while len(self.tags) > depth:
+            tag = self.tags.pop()
+            self.nodes.pop()
+            self.places[tag].pop()
+            if tag not in _INLINE:
+                self.blocks.pop()
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The tree of block elements (parents first) and the blocks of text in page order, each with its node."""
     nodes = [Node("#root", "", -1)]
     blocks: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements; inline ones share their block's node
+    stack = _Open()
     buffer: list[tuple[str, bool]] = []
-    links = 0
+
+    def linked() -> bool:
+        return bool(stack.places.get("a"))
 
     def flush() -> None:
         nonlocal buffer
         if buffer:
-            node = stack[-1][1]
+            node = stack.nodes[-1]
             text = " ".join(html.unescape("".join(t for t, _ in buffer)).split())
             if text:
                 nodes[node].texts.append(len(blocks))
                 nodes[node].chars += len(text)
-                nodes[node].link_chars += min(len(text), sum(len(t) for t, linked in buffer if linked))
+                nodes[node].link_chars += min(len(text), sum(len(t) for t, in_link in buffer if in_link))
                 blocks.append((node, text))
             buffer = []
 
     def pop_to(depth: int) -> None:
-        nonlocal links
-        if any(t not in _INLINE for t, _ in stack[depth:]):
+        if stack.last_block() >= depth:
             flush()
-        links -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
+        stack.cut(depth)
 
-    def close_implied(closed: set[str] | frozenset[str], bounds: set[str] | frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in closed:
-                pop_to(i)
-                return close_implied(closed, bounds)
-            if stack[i][0] in bounds:
-                return None
-        return None
+    def close_implied(closed: Iterable[str], bounds: Iterable[str]) -> None:
+        while (i := stack.last(closed)) > stack.last(bounds):
+            pop_to(i)
 
     at, end, lower = 0, len(page), None
     unclosed: set[str] = set()  # dropped tags that have no end tag from here on
@@ -126,7 +152,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         m = _TOKEN.search(page, at)
         text_end = m.start() if m else end
         if text_end > at:
-            buffer.append((page[at:text_end], links > 0))
+            buffer.append((page[at:text_end], linked()))
         if not m:
             break
         at = m.end()
@@ -134,16 +160,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = m[2].lower()
         if m[1]:  # a closing tag
-            if tag == "p" and not any(t == "p" for t, _ in stack):
+            if tag == "p" and not stack.last(("p",)):
                 flush()
-            elif tag in _HEADINGS:
-                tag = next((t for t, _ in reversed(stack) if t in _HEADINGS), tag)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if tag in _INLINE and stack[i][0] not in _INLINE:
-                    break  # an inline end tag doesn't close blocks
+            elif tag in _HEADINGS and (i := stack.last(_HEADINGS)):
+                tag = stack.tags[i]
+            i = stack.last((tag,))
+            if i and not (tag in _INLINE and stack.last_block() > i):  # an inline end tag doesn't close blocks
+                pop_to(i)
             continue
         if tag in _DROPPED and (tag in unclosed or tag == "svg" and m[3].endswith("/")):
             continue
@@ -162,24 +185,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 unclosed.add(tag)
             continue
         if tag == "br":
-            buffer.append((" ", links > 0))
+            buffer.append((" ", linked()))
             continue
         if tag in _INLINE:
             if tag not in _VOID and not m[3].endswith("/"):
-                stack.append((tag, stack[-1][1]))
-                links += tag == "a"
+                stack.push(tag, stack.nodes[-1])
             continue
-        flush_needed = True
         if tag in _ENDS_P:
-            close_implied({"p"}, {"td", "th", "table", "button", "caption", "#root"})
+            close_implied(("p",), ("td", "th", "table", "button", "caption"))
         if tag in _CLOSES:
             close_implied(*_CLOSES[tag])
-        if flush_needed:
-            flush()
+        flush()
         if tag in _VOID:
             continue
-        nodes.append(Node(tag, _kind(m[3]), stack[-1][1]))
-        stack.append((tag, len(nodes) - 1))
+        nodes.append(Node(tag, _kind(m[3]), stack.nodes[-1]))
+        stack.push(tag, len(nodes) - 1)
     flush()
     return nodes, blocks
 

@@ -91,3 +91,45 @@ def test_foreign_and_unclosed_elements():
     for raw in ("script", "style", "textarea", "title"):
         assert texts(f"<p>one</p><{raw}>no <p>no</p>") == ["one"]
     assert texts("<p>one" + "<svg>" * 3 + "two</p>") == ["onetwo"]
+
+
+def test_deep_nesting_costs_no_more_per_tag():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        for page in ("<div>" * n + "x", "<div><p>" * n, "<b>" * n + "<div>" + "</i>" * n, "<ul><li>" * n + "<li>" * n, "<p>" + "<h1>" * n + "</h2>" * n):
+            parse(page)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.02)  # 100 times where a tag costs its depth
+
+
+#: Pages of frames that the training pages don't have: what is content, then the page with it marked by braces.
+FOREIGN = [
+    """<body class="home single"><div id="masthead-wrap"><div class="logo">Daily</div><ul class="menu-primary"><li><a href=1>News</a></li><li><a href=2>Sport</a></li></ul></div>
+    <section id="main-content" role="main"><div class="entry-header"><h1>{The river rises}</h1></div><div class="entry-content"><p>{Water came over the bank in the night, and the lower street was closed.}</p>
+    <div class="share-buttons"><a href=3>Share</a></div><p>{By noon it had gone back.}</p></div></section><div class="widget-area"><h3>Most read</h3><ul><li><a href=4>Elsewhere</a></li></ul></div>
+    <div id="colophon"><p>All rights reserved.</p></div></body>""",
+    """<body><table><tr><td class="leftnav"><a href=1>Home</a><br><a href=2>Links</a></td><td id="content"><h2>{Notes on bees}</h2><p>{Bees fly far on warm days, and farther where flowers are few.}
+    <p>{They come back by the sun.}<ul><li>{workers}<li>{drones}</ul></td></tr></table><p class="footer">Page made in 1999</p></body>""",
+    """<body><div class="cookie-banner"><p>We use cookies.</p><button>Yes</button></div><main><div class="post"><div class="post-title"><h1>{A cake}</h1></div><div class="post-body"><p>{Stir the flour into the milk and let it stand for an hour.}</p>
+    <figure><img src=x><figcaption>{The cake, cut.}</figcaption></figure><pre>{200 g flour}</pre></div></div><div class="related-posts"><h4>You may like</h4><a href=1>Bread</a> <a href=2>Pies</a></div>
+    <div id="disqus_thread"><div class="reply"><p>Mine burnt, why?</p></div></div></main><footer><a href=3>About</a></footer></body>""",
+    """<body><header role=banner><a href=/>Site</a></header><div role="navigation"><a href=1>One</a> <a href=2>Two</a></div><div class="article-wrapper"><div class="article-text"><p>{The council met on Monday to talk about the bridge, which has been shut since May.}</p>
+    <aside class="promo-box"><p>Subscribe and save!</p></aside><blockquote>{It will cost more than we thought.}</blockquote><p>{A vote is due in June.}</p></div></div><form action=x><label>Your mail</label><input><button>Go</button></form></body>""",
+]
+
+
+def test_foreign_frames():
+    """Precision and recall by characters on frames that no training page has."""
+    found = right = wanted = 0
+    for page in FOREIGN:
+        content = {" ".join(t.split()) for t in re.findall(r"\{([^}]*)\}", page)}
+        got = extract(page.replace("{", "").replace("}", ""), MODEL).split("\n")
+        found += sum(map(len, got))
+        right += sum(len(t) for t in got if t in content)
+        wanted += sum(map(len, content))
+    print(f"precision {right / found:.3f}, recall {right / wanted:.3f}")
+    assert right >= 0.9 * found and right >= 0.9 * wanted
