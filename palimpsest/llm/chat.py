@@ -1,8 +1,10 @@
 """Chat formatting: from records of many layouts to marked-up turns with a loss mask.
 
 A record's layout is known by its schema fingerprint: the hash of its sorted nested
-field paths, of which only those count that some layout names, so extra fields change
-nothing. The fingerprint selects a declarative mapping to canonical (role, text) turns.
+field paths, of which only those count that some layout names. The fingerprint selects a
+declarative mapping to canonical (role, text) turns. A fingerprint that no layout has
+goes to the layout that covers most of its fields, which is found once for each
+fingerprint, so extra fields change nothing even if another layout names them.
 
 Turns are written one row each, since formatting needs nothing but the turn: a
 conversation's text is its rows' texts in order. Control strings inside texts and roles
@@ -22,7 +24,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palimpsest.llm.workers import lean
 from palimpsest.sources.scratch import Scratch
@@ -36,6 +37,7 @@ class Turn(NamedTuple):
 
     role: str
     texts: tuple[str, ...]
+    optional: bool = False  # left out where its text is empty
 
 
 class Layout(NamedTuple):
@@ -43,75 +45,116 @@ class Layout(NamedTuple):
     each: str  # the list whose elements are turns; empty where the record itself has them
     turns: tuple[Turn, ...]
     order: str = ""  # in a layout of one record a turn: the field that orders them
+    before: tuple[Turn, ...] = ()  # turns that the record has beside its list
 
     def paths(self) -> frozenset[str]:
         fields = {f for t in self.turns for f in (*t.texts, *([t.role[1:]] if t.role[0] == "$" else []))} | ({self.order} - {""})
-        return frozenset(f"{self.each}[].{f}" if self.each else f for f in fields)
+        beside = {f for t in self.before for f in t.texts}
+        return frozenset(f"{self.each}[].{f}" if self.each else f for f in fields) | beside
 
 
+_SYSTEM = Turn("system", ("system",), optional=True)
+_ASKS = {"instruction": ("instruction", "input"), "prompt": ("prompt",), "question": ("question",)}
+_ANSWERS = {"instruction": ("output", "response"), "prompt": ("completion", "response"), "question": ("answer",)}
 LAYOUTS = [
     Layout("turn_rows", "", (Turn("$role", ("text",)),), "turn"),
-    Layout("messages", "messages", (Turn("$role", ("content",)),)),
-    Layout("from_value", "conversations", (Turn("$from", ("value",)),)),
-    Layout("instruction_input", "", (Turn("user", ("instruction", "input")), Turn("assistant", ("output",)))),
-    Layout("instruction", "", (Turn("user", ("instruction",)), Turn("assistant", ("output",)))),
-    Layout("instruction_response", "", (Turn("user", ("instruction",)), Turn("assistant", ("response",)))),
-    Layout("system_instruction", "", (Turn("system", ("system",)), Turn("user", ("instruction",)), Turn("assistant", ("output",)))),
-    Layout("prompt_completion", "", (Turn("user", ("prompt",)), Turn("assistant", ("completion",)))),
-    Layout("prompt_response", "", (Turn("user", ("prompt",)), Turn("assistant", ("response",)))),
-    Layout("question_answer", "", (Turn("user", ("question",)), Turn("assistant", ("answer",)))),
+    *(
+        Layout(f"{name}_{'_'.join(f for t in before for f in t.texts)}".rstrip("_"), each, turns, "", before)
+        for name, each, turns in (("messages", "messages", (Turn("$role", ("content",)),)), ("from_value", "conversations", (Turn("$from", ("value",)),)))
+        for before in ((), (_SYSTEM,), (Turn("user", ("prompt",), optional=True),), (_SYSTEM, Turn("user", ("prompt",), optional=True)))
+    ),
+    *(
+        Layout("_".join([*(t.role for t in system), *asked, answer]), "", (*system, Turn("user", asked), Turn("assistant", (answer,))))
+        for ask, fields in _ASKS.items()
+        for asked in ([fields, fields[:1]] if len(fields) > 1 else [fields])
+        for answer in _ANSWERS[ask]
+        for system in ((), (_SYSTEM,))
+    ),
 ]
 _NAMED = frozenset(p for layout in LAYOUTS for p in layout.paths())
+#: Fields without which a record isn't in a layout: that of its roles, or its question and its answer.
+_NEEDED = {layout.name: frozenset(layout.paths() - {f for t in (*layout.turns, *layout.before) if t.optional for f in t.texts} - {"input"}) for layout in LAYOUTS}
 
 
 def fingerprint(paths: set[str] | frozenset[str]) -> str:
     return xxhash.xxh64_hexdigest("\n".join(sorted(p for p in paths if p in _NAMED)))
 
 
-BY_FINGERPRINT = {fingerprint(layout.paths()): layout for layout in LAYOUTS}
+BY_FINGERPRINT: dict[str, Layout | None] = {fingerprint(layout.paths()): layout for layout in LAYOUTS}
+_met: dict[str, Layout | None] = {}  # other fingerprints; there are no more than subsets of the named fields, and few occur
 
 
-def record_paths(value: Any, at: str = "") -> set[str]:
-    """Nested field paths of a parsed JSON value; elements of lists are []."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in record_paths(v, f"{at}.{k}" if at else k)}
-    if isinstance(value, list) and value:
-        return {p for v in value for p in record_paths(v, f"{at}[]")}
-    return {at}
+def layout_of(paths: set[str] | frozenset[str]) -> Layout | None:
+    """The layout of a record with these field paths; None where none has all it needs.
 
-
-def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
-    """The same of a schema."""
-    if isinstance(kind, T.StructType):
-        return {p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name)}
-    if isinstance(kind, T.ArrayType):
-        return schema_paths(kind.elementType, f"{at}[]")
-    return {at}
+    Of several the one that covers most fields, then the one that lacks fewest, then the first in ``LAYOUTS``.
+    """
+    known = fingerprint(paths)
+    if known in BY_FINGERPRINT:
+        return BY_FINGERPRINT[known]
+    if known not in _met:
+        fit = [layout for layout in LAYOUTS if _NEEDED[layout.name] <= paths]
+        if len(_met) > 10_000:
+            _met.clear()
+        _met[known] = max(fit, key=lambda layout: (len(layout.paths() & paths), -len(layout.paths() - paths)), default=None)
+    return _met[known]
+
+
+def record_paths(value: Any, depth: int = 2) -> set[str]:
+    """Nested field paths of a parsed JSON value down to ``depth`` levels, as deep as layouts go; elements of lists are []."""
+    found: set[str] = set()
+    todo: list[tuple[Any, str, int]] = [(value, "", depth)]
+    while todo:
+        x, at, left = todo.pop()
+        if at:
+            found.add(at)
+        if isinstance(x, dict) and left:
+            todo += [(v, f"{at}.{k}" if at else k, left - 1) for k, v in x.items()]
+        elif isinstance(x, list) and left:
+            todo += [(v, f"{at}[]", left) for v in x if not isinstance(v, list)]
+    return found
 
 
 def _text(value: Any) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    """A value as text: null is empty, parts of a message are joined by lines, and what isn't text is JSON."""
+    if value is None:
+        return ""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, list) and all(isinstance(p, str) or isinstance(p, dict) and isinstance(p.get("text"), str) for p in value):
+        return "\n".join(p if isinstance(p, str) else p["text"] for p in value)
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _turns(layout: Layout, record: dict) -> Iterator[tuple[str, str]]:
+    items = record[layout.each] if layout.each else [record]
+    for turns, of in ((layout.before, [record]), (layout.turns, items)):
+        for item in of:
+            for turn in turns:
+                role = _text(item.get(turn.role[1:])) if turn.role[0] == "$" else turn.role
+                text = "\n\n".join(t for t in (_text(item.get(f)) for f in turn.texts) if t)
+                if text or not turn.optional:
+                    yield ROLES.get(role, role), text
 
 
 def canonical_turns(record: Any) -> tuple[str | None, list[tuple[str, str]]]:
-    """(layout name, turns) of a parsed record; no name and no turn where no layout fits."""
-    layout = BY_FINGERPRINT.get(fingerprint(record_paths(record))) if isinstance(record, dict) else None
-    if layout is None:
+    """(layout name, turns) of a parsed record; no name and no turn where no layout fits.
+
+    A list of turns fits only if every element is an object: of one that isn't, what it
+    says and who says it can't be told, and a conversation isn't read in part.
+    """
+    layout = layout_of(record_paths(record)) if isinstance(record, dict) else None
+    if layout is None or layout.each and not (isinstance(record[layout.each], list) and all(isinstance(x, dict) for x in record[layout.each])):
         return None, []
-    turns = []
-    for item in record[layout.each] if layout.each else [record]:
-        for turn in layout.turns:
-            role = _text(item.get(turn.role[1:])) if turn.role[0] == "$" else turn.role
-            text = "\n\n".join(t for t in (_text(item.get(f)) for f in turn.texts) if t)
-            turns.append((ROLES.get(role, role), text))
-    return layout.name, turns
+    return layout.name, list(_turns(layout, record))
 
 
 def records_to_turns(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """Rows (conv_id, turn, role, text, layout) of JSON records of any known layout.
 
-    A record that is null, no JSON, or of an unknown layout gives one row without turn,
-    role, text and layout, so none is lost.
+    A record that is null, no JSON, nested too deeply to be read, or of an unknown layout
+    gives one row without turn, role, text and layout, so none is lost and none stops the
+    others.
     """
 
     @lean
@@ -121,7 +164,7 @@ def records_to_turns(records: DataFrame, id_col: str, json_col: str) -> DataFram
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     name, turns = canonical_turns(json.loads(raw)) if raw else (None, [])
-                except ValueError:
+                except (ValueError, RecursionError):
                     name, turns = None, []
                 rows += [(key, i, role, text, name) for i, (role, text) in enumerate(turns)] or [(key, None, None, None, None)]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
@@ -131,9 +174,15 @@ def records_to_turns(records: DataFrame, id_col: str, json_col: str) -> DataFram
 
 
 def rows_to_turns(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Rows (conv_id, turn, role, text) of a table that has a row for each turn; the schema's fingerprint selects the mapping."""
-    layout = BY_FINGERPRINT.get(fingerprint({f.name for f in rows.schema.fields}))
+    """Rows (conv_id, turn, role, text) of a table that has a row for each turn; the schema's fingerprint selects the mapping.
+
+    A table is in such a layout if it has its fields, whatever others it has beside them.
+    """
+    named = {f.name for f in rows.schema.fields}
+    layout = layout_of(named)
     if layout is None or not layout.order:
+        layout = next((x for x in LAYOUTS if x.order and x.paths() <= named), None)
+    if layout is None:
         raise ValueError(f"no layout of one row a turn has the fields {sorted(rows.columns)}")
     turn = layout.turns[0]
     return rows.select(F.col(id_col).cast("long").alias("conv_id"), F.col(layout.order).cast("long").alias("turn"), F.coalesce(F.col(turn.role[1:]), F.lit("")).alias("role"), F.coalesce(F.col(turn.texts[0]), F.lit("")).alias("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm.chat import formatted_and_read
+from palimpsest.llm.chat import formatted_and_read, records_to_turns
 from palimpsest.llm.exact_dedup import exact_duplicates
 from palimpsest.llm.fingerprint import edited_fingerprints
 from palimpsest.llm.html_extract import main_text
@@ -62,6 +62,23 @@ def op8_schema_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted_and_read(_table(spark, sf_dir, "conversations").select(own.columns).unionByName(own))
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as records of four layouts, mixed in one table, and back as turns."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    each = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))  # a record is a conversation
+    kind = F.pmod("conv_id", F.lit(4))
+    sharegpt = F.transform("t", lambda x: F.struct(F.when(x["role"] == "user", "human").when(x["role"] == "assistant", "gpt").otherwise(x["role"]).alias("from"), x["text"].alias("value")))
+    parts = F.transform("t", lambda x: F.struct(x["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), x["text"].alias("text"))).alias("content")))
+    first, last = F.get("t", F.lit(0))["text"], F.element_at("t", -1)["text"]
+    record = (
+        F.when(kind == 0, F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"), F.lit(0.5).alias("score"))))
+        .when(kind == 1, F.to_json(F.struct(sharegpt.alias("conversations"))))
+        .when(kind == 2, F.to_json(F.struct(F.lit("Be brief.").alias("system"), parts.alias("messages"))))
+        .otherwise(F.to_json(F.struct(first.alias("instruction"), F.lit("now").alias("input"), last.alias("output"))))
+    )
+    return records_to_turns(each.select("conv_id", record.alias("raw")), "conv_id", "raw")
+
+
 def op9_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
 
@@ -85,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_sstable_shards,
         op7_bounded_space_packing,
         op8_schema_chat_format,
+        chat_layouts,
         op9_html_tree_model,
         op10_msd_exact_dedup,
         pipeline,
@@ -105,6 +123,15 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn), '')) AS loss_sha256,
                CAST(sum(length('<|im_start|>') + length(r) + 1 + length(x) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "chat_layouts": """
+        WITH c AS (SELECT conv_id, conv_id % 4 AS kind, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) - 1 AS turn,
+                count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+        SELECT conv_id, turn, role, text, CASE kind WHEN 0 THEN 'messages' ELSE 'from_value' END AS layout FROM c WHERE kind < 2
+        UNION ALL SELECT conv_id, turn + 1, role, text, 'messages_system' FROM c WHERE kind = 2
+        UNION ALL SELECT DISTINCT conv_id, 0, 'system', 'Be brief.', 'messages_system' FROM c WHERE kind = 2
+        UNION ALL SELECT conv_id, 0, 'user', CASE WHEN text = '' THEN '' ELSE text || chr(10) || chr(10) END || 'now', 'instruction_input_output' FROM c WHERE kind = 3 AND turn = 0
+        UNION ALL SELECT conv_id, 1, 'assistant', text, 'instruction_input_output' FROM c WHERE kind = 3 AND turn = n - 1""",
     "op10_msd_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
