@@ -19,6 +19,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.names import unused
+
 BASE = ("email", "ip", "card", "phone")
 CONTEXT_CHARS = 40
 THRESHOLD = 0.6
@@ -75,15 +77,15 @@ class Kind(NamedTuple):
 
 _MAIL = "A-Za-z0-9._%+-"
 KINDS = [
-    Kind("email", lambda t: t.contains("@"), rf"(?:(?<![{_MAIL}])|\G)[{_MAIL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda h: F.lit(True), 0.7, "mail|contact|write"),
+    Kind("email", lambda t: t.contains("@"), rf"(?:(?<![{_MAIL}])|\G)[{_MAIL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda h: F.lit(True), 0.7, "e-?mail|mail|contact|write"),
     Kind("ip", lambda t: t.rlike(r"[0-9]\.[0-9]"), r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _ip, 0.6, "ip|address|host|server"),
     Kind("card", lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), r"[0-9](?:[\x20-]?[0-9])++", _card, 0.7, "card|visa|credit|payment|pay"),
-    Kind("phone", lambda t: t.contains("+"), r"\+[0-9][\x20().0-9-]+[0-9]", _phone, 0.6, "phone|call|tel|mobile|fax"),
-    Kind("iban", lambda t: t.rlike("[A-Z]{2}[0-9]{2}[ ]?[A-Z0-9]{4}"), r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban, 0.6, "iban|account|bank"),
-    Kind("ssn", lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda h: F.lit(True), 0.3, "ssn|social"),
+    Kind("phone", lambda t: t.contains("+"), r"\+[0-9][\x20().0-9-]+[0-9]", _phone, 0.6, "phone|telephone|call|tel|mobile|fax"),
     # numbers that the base expressions run together with their neighbours, and then drop
     Kind("card", lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), r"(?<![0-9])(?:[0-9]{14,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,4})(?![0-9])", _card, 0.7, "card|visa|credit|payment|pay"),
-    Kind("phone", lambda t: t.contains("+"), r"\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])", _phone, 0.6, "phone|call|tel|mobile|fax"),
+    Kind("phone", lambda t: t.contains("+"), r"\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])", _phone, 0.6, "phone|telephone|call|tel|mobile|fax"),
+    Kind("iban", lambda t: t.rlike("[A-Z]{2}[0-9]{2}[ ]?[A-Z0-9]{4}"), r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban, 0.6, "iban|account|bank"),
+    Kind("ssn", lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda h: F.lit(True), 0.3, "ssn|social"),
 ]
 
 
@@ -97,7 +99,7 @@ def _spans(text: Column, at: int, kind: Kind) -> Column:
         start = acc["pos"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         before = F.lower(F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))))
-        score = F.lit(kind.score) + F.when(before.rlike(rf"\b(?:{kind.context})"), 0.3).otherwise(0.0)
+        score = F.lit(kind.score) + F.when(before.rlike(rf"\b(?:{kind.context})s?\b"), 0.3).otherwise(0.0)
         span = F.struct(start.alias("start"), F.lit(at).alias("k"), end.alias("end"), score.alias("score"))
         found = F.when(x["hit"].isNotNull() & kind.confirm(x["hit"]), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
         return F.struct(F.coalesce(end, start).alias("pos"), found.alias("found"))
@@ -111,7 +113,8 @@ def with_spans(docs: DataFrame, text_col: str = "text", out: str = "pii", thresh
     Offsets are in code points, the end exclusive. The four kinds of ``BASE`` keep every
     confirmed match whatever its score; others need ``threshold``, which a social
     security number reaches with a context word only. Cards and phones that a base
-    expression ran together with their neighbours are added. A null text has no span.
+    expression ran together with their neighbours are added. Context words are whole ones:
+    "tel" isn't in "telling". A null text has no span.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = F.concat(*(_spans(text, i, kind) for i, kind in enumerate(KINDS)))
@@ -139,7 +142,8 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD
 
     Texts without a span, null ones included, stay as they are.
     """
-    marked = with_spans(docs, text_col, "__pii", threshold)
+    (out,) = unused(docs.columns, "pii")
+    marked = with_spans(docs, text_col, out, threshold)
     text = F.col(text_col)
     names = F.array(*(F.lit(f"<{k.name.upper()}>") for k in KINDS))
     zero = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<string>)").alias("parts"))
@@ -150,5 +154,5 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD
         parts = F.when(clear, F.concat(acc["parts"], F.array(gap, F.get(names, s["k"])))).otherwise(acc["parts"])
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), parts.alias("parts"))
 
-    masked = F.aggregate("__pii", zero, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
-    return marked.withColumn(text_col, F.when(F.size("__pii") > 0, masked).otherwise(text)).drop("__pii")
+    masked = F.aggregate(out, zero, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
+    return marked.withColumn(text_col, F.when(F.size(out) > 0, masked).otherwise(text)).drop(out)

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 from palimpsest.llm import queries
-from palimpsest.llm.pii import BASE, redact, spans_text, with_spans
+from palimpsest.llm.pii import BASE, KINDS, redact, spans_text, with_spans
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -60,12 +60,24 @@ def test_base_spans_equal_brute_force(spark):
 def test_added_spans(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     got = {r["doc_id"]: r["pii"] for r in with_spans(df).collect()}
-    assert [(s["start"], s["end"]) for s in got[10] if s["k"] == 4] == [(5, 32), (42, 64)]
-    assert [s["start"] for s in got[11] if s["k"] == 5] == [10, 28]
+    assert [(s["start"], s["end"]) for s in got[10] if KINDS[s["k"]].name == "iban"] == [(5, 32), (42, 64)]
+    assert [s["start"] for s in got[11] if KINDS[s["k"]].name == "ssn"] == [10, 28]
     joined = "7536784127813050 4845168114407329 x +1 (826) 555-4081 190.137.223.204 and 4845168114407329, +1 (826) 555-4081"
     got2 = with_spans(spark.createDataFrame([(0, joined)], "doc_id long, text string")).first()["pii"]
     assert [joined[s["start"] : s["end"]] for s in got2] == ["7536784127813050", "4845168114407329", "+1 (826) 555-4081", "190.137.223.204", "4845168114407329", "+1 (826) 555-4081"]
-    assert all(s["score"] > 0.8 for s in got[10] if s["k"] == 4)
+    assert all(s["score"] > 0.8 for s in got[10] if KINDS[s["k"]].name == "iban")
+
+
+def test_spans_are_in_order_of_start_and_kind_as_listed():
+    names = [k.name for k in KINDS]
+    assert names.index("iban") > max(i for i, n in enumerate(names) if n in BASE)
+
+
+def test_context_words_are_whole(spark):
+    texts = ["lorem ipsum 1.2.3.4", "ip 1.2.3.4", "IPs: 1.2.3.4", "the telling +1 826 555 4081", "tel. +1 826 555 4081", "shipping 1.2.3.4"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [round(s["score"], 1) for s in r["pii"]] for r in with_spans(df).collect()}
+    assert got == {0: [0.6], 1: [0.9], 2: [0.9], 3: [0.6], 4: [0.9], 5: [0.6]}
 
 
 def test_very_long_runs(spark):
@@ -76,7 +88,8 @@ def test_very_long_runs(spark):
 
 
 def test_redact(spark):
-    df = spark.createDataFrame([(0, TEXTS[7], 1), (1, None, 2), (2, "clean", 3)], "doc_id long, text string, extra int")
+    df = spark.createDataFrame([(0, TEXTS[7], 1), (1, None, 2), (2, "clean", 3)], "doc_id long, text string, PII int").selectExpr("*", "PII as __pii")
+    assert redact(df).columns == df.columns and {(r["PII"], r["__pii"]) for r in redact(df).collect()} == {(1, 1), (2, 2), (3, 3)}
     rows = {r["doc_id"]: r["text"] for r in redact(df).collect()}
     assert rows == {0: "😀 mail me: jö<EMAIL>, card <CARD>😀".replace("jö<EMAIL>", TEXTS[7][11:13] + "<EMAIL>"), 1: None, 2: "clean"}
 
