@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.codec import op_of, tag
 from palimpsest.model import DELETE, MAX_SEQ
+from palimpsest.operators.intervals import covered
+from palimpsest.operators.names import unused
 
 
 def merge(runs: list[DataFrame]) -> DataFrame:
@@ -20,23 +23,28 @@ def keep_rule(log: DataFrame, oldest: int, deeper: DataFrame | None = None) -> D
 
     A version goes if the next newer one of its key is itself visible at ``oldest``. A
     deletion that is visible there goes too, unless a file of ``deeper`` (smallest,
-    largest) below the merged levels may hold its key. Only such deletions are compared
-    with the ranges, of which there is one per file.
+    largest) below the merged levels may hold its key. The keys of such deletions come
+    from an aggregate without values and are found in the ranges by a sweep; the versions
+    themselves are ranked once and meet those keys where the ranking has put them.
     """
-    newer = F.coalesce(F.lag("seq").over(Window.partitionBy("key").orderBy(F.col("seq").desc(), F.col("op").desc())), F.lit(MAX_SEQ))
-    marked = log.withColumn("__newer", newer).filter(F.col("__newer") > oldest).drop("__newer")
+    order = Window.partitionBy("key").orderBy(F.col("seq").desc(), F.col("op").desc())
+    (next_newer, in_deeper) = unused(log.columns, "newer", "deeper")
+    newer = F.coalesce(F.lag("seq").over(order), F.lit(MAX_SEQ))
+    marked = log.withColumn(next_newer, newer).filter(F.col(next_newer) > oldest).drop(next_newer)
     dead = (F.col("op") == DELETE) & (F.col("seq") <= oldest)
     if deeper is None:
         return marked.filter(~dead)
-    ranges = deeper.select(F.col("smallest").alias("__lo"), F.col("largest").alias("__hi"))
-    kept = marked.filter(dead).join(ranges, F.col("key").between(F.col("__lo"), F.col("__hi")), "left_semi")
-    return marked.filter(~dead).unionByName(kept)
+    newest = log.filter(F.col("seq") <= oldest).groupBy("key").agg(F.max(tag(F.col("seq"), F.col("op"))).alias("tag"))
+    held = covered(newest.filter(op_of(F.col("tag")) == DELETE).select("key"), deeper).withColumn(in_deeper, F.lit(True))
+    # a merge join keeps the ranking's partitions; the held keys alone are shuffled to it
+    return marked.join(held.hint("merge"), "key", "left").filter(~dead | F.col(in_deeper)).select(*log.columns)
 
 
 def dedup_run(log: DataFrame) -> DataFrame:
     """A flush without snapshots: the newest version of each key, deletions kept."""
+    (place,) = unused(log.columns, "place")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("seq").desc(), F.col("op").desc()))
-    return log.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
+    return log.withColumn(place, rank).filter(F.col(place) == 1).drop(place)
 
 
 def read_differences(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -78,8 +78,9 @@ def fullest_level(files: DataFrame) -> DataFrame:
     return level_scores(files).agg(F.max_by("level", "score").alias("level"), F.max("score").alias("score"))
 
 
-def key_range(files: DataFrame) -> DataFrame:
-    return files.agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
+def key_range(files: DataFrame, *by: str) -> DataFrame:
+    """The least and the largest key of all files, or of those that agree in ``by``."""
+    return files.groupBy(*by).agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
 
 
 def order_check(files: DataFrame) -> DataFrame:

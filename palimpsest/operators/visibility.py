@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from palimpsest.functions.codec import op_of, seq_of, tag
 from palimpsest.model import PUT, newest_first, payload
+from palimpsest.operators.names import unused
 
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -36,11 +37,13 @@ def latest(log: DataFrame, seq: int | None = None, how: str = "auto") -> DataFra
     values = payload(log)
     fixed = all(isinstance(log.schema[c].dataType, _FIXED) and not isinstance(log.schema[c].dataType, T.DecimalType) for c in values)
     if how == "hash" or how == "auto" and fixed:
-        tagged = log.select("key", *values, tag(F.col("seq"), F.col("op")).alias("tag"))
-        newest = tagged.groupBy("key").agg(F.max("tag").alias("tag"), *(F.max_by(c, "tag").alias(c) for c in values))
-        return newest.select("key", seq_of(F.col("tag")).alias("seq"), op_of(F.col("tag")).alias("op"), *values)
+        (packed,) = unused(log.columns, "tag")
+        tagged = log.select("key", *values, tag(F.col("seq"), F.col("op")).alias(packed))
+        newest = tagged.groupBy("key").agg(F.max(packed).alias(packed), *(F.max_by(c, packed).alias(c) for c in values))
+        return newest.select("key", seq_of(F.col(packed)).alias("seq"), op_of(F.col(packed)).alias("op"), *values)
     order = Window.partitionBy("key").orderBy(F.col("seq").desc(), F.col("op").desc())
-    return log.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").select("key", "seq", F.col("op").cast("int").alias("op"), *values)
+    (place,) = unused(log.columns, "place")
+    return log.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).select("key", "seq", F.col("op").cast("int").alias("op"), *values)
 
 
 def live(log: DataFrame, seq: int | None = None) -> DataFrame:

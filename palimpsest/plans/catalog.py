@@ -191,9 +191,9 @@ def batch_last_op_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.last_op_wins(batch.explode(_batches(spark, sf_dir)))
 
 
-@query(f"WITH {_EXPLODED} SELECT CAST(0 AS BIGINT) AS batch_id, CAST(seq - 1 AS INTEGER) AS pos, key, seq, op, value FROM rows_ WHERE batch_id < 40")
+@query(f"WITH {_EXPLODED} SELECT CAST(0 AS BIGINT) AS batch_id, CAST(seq - 1 AS INTEGER) AS pos, key, seq, op, value FROM rows_")
 def batch_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.explode(batch.concat(_batches(spark, sf_dir).filter("batch_id < 40"))).withColumn("pos", F.col("pos").cast("int"))
+    return batch.explode(batch.concat(_batches(spark, sf_dir))).withColumn("pos", F.col("pos").cast("int"))
 
 
 @query("""SELECT batch_id, count(*) AS ops, CAST(sum(bytes) AS BIGINT) AS bytes FROM (
@@ -359,9 +359,9 @@ def write_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.pressure(_levels(spark, sf_dir))
 
 
-@query(f"WITH {_FILES} SELECT 1 AS level, min(smallest) AS smallest, max(largest) AS largest FROM files WHERE level = 1 AND num BETWEEN 0 AND 1")
+@query(f"WITH {_FILES} SELECT level, min(smallest) AS smallest, max(largest) AS largest FROM files GROUP BY level")
 def key_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.key_range(order_files(spark, sf_dir).filter("level = 1 and num between 0 and 1")).select(F.lit(1).alias("level"), "smallest", "largest")
+    return manifest.key_range(order_files(spark, sf_dir), "level")
 
 
 @query(f"""WITH {_FILES}, w AS (SELECT *, lag(largest) OVER (PARTITION BY level ORDER BY smallest, num) AS previous FROM files)

@@ -17,10 +17,13 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset and Spark runs in one process, a temporary one."""
     named = spark.conf.get(_CONF, None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"{_CONF} isn't set: tables between steps need a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="palimpsest-"))
     return _own[0]

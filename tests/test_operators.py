@@ -1,8 +1,13 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import codec
 from palimpsest.operators import batch, bloom, compaction, visibility
+from palimpsest.operators.intervals import covered
+from palimpsest.operators.names import unused
 from palimpsest.operators.skew import hot_left_join
 
 LOG = "key string, seq long, op int, value string"
@@ -47,6 +52,42 @@ def test_compaction_keeps_reads(spark):
             assert compaction.read_differences(visibility.live(kept, s), visibility.live(log, s)).isEmpty()
 
 
+def test_covered_keys(spark):
+    r = random.Random(2)
+    ranges = [sorted((r.randrange(1000), r.randrange(1000))) for _ in range(40)] + [[5, 5], [2000, 2100], [2000, 2100]]
+    ranges = [x for x in ranges if x[1] - x[0] < 60 or x[0] >= 2000]
+    keys = list(range(-3, 2200)) + [7] * 500
+    got = covered(spark.createDataFrame([(k,) for k in keys], "key long").repartition(5), spark.createDataFrame(ranges, "smallest long, largest long"))
+    assert sorted(x[0] for x in got.collect()) == sorted(k for k in set(keys) if any(a <= k <= b for a, b in ranges))
+    text = covered(spark.createDataFrame([("a",), ("b",), ("ba",), ("d",)], "key string"), spark.createDataFrame([("b", "c")], "smallest string, largest string"))
+    assert sorted(x[0] for x in text.collect()) == ["b", "ba"]
+    assert covered(spark.createDataFrame([("a",)], "key string"), spark.createDataFrame([], "smallest string, largest string")).collect() == []
+
+
+def test_compaction_above_deeper_files_compares_no_pairs(spark, capsys):
+    rows = [(k, s, s % 3 and 1, f"{k}{s}") for s in range(200) for k in (f"k{s * 7 % 40:02}",)]
+    log = spark.createDataFrame(rows, LOG)
+    deeper = spark.createDataFrame([("k05", "k09"), ("k08", "k15"), ("k30", "k30")], "smallest string, largest string")
+    kept = compaction.keep_rule(log, 150, deeper)
+    kept.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan and len(set(re.findall(r"\((\d+)\) Window\n", plan))) <= 3
+    newer = {}
+    want = []
+    for k, s, op, v in sorted(rows, key=lambda x: -x[1]):
+        if newer.get(k, 10**9) > 150 and not (op == 0 and s <= 150 and not any(a <= k <= b for a, b in (("k05", "k09"), ("k08", "k15"), ("k30", "k30")))):
+            want.append((k, s, op, v))
+        newer[k] = s
+    assert sorted(map(tuple, kept.collect())) == sorted(want)
+
+
+def test_columns_of_the_user_keep_their_names(spark):
+    log = spark.createDataFrame([("a", 1, 1, "x", 5, 6), ("a", 2, 1, "y", 7, 8)], LOG + ", place int, tag int")
+    assert [r.asDict() for r in visibility.live(log).collect()] == [{"key": "a", "seq": 2, "value": "y", "place": 7, "tag": 8}]
+    assert compaction.dedup_run(log).columns == log.columns == compaction.keep_rule(log, 1).columns
+    assert unused(["Row", "_row"], "row", "x") == ["__row", "x"]
+
+
 def test_bloom_has_no_false_negative(spark):
     keys = spark.createDataFrame([(x,) for x in ("a", "sd", "fghj", "kl", "z", "ggt", "")], "key string")
     bits, k = bloom.size_for(7, 10), bloom.probes(10)
