@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import time
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -56,22 +58,39 @@ class Files:
         options[0] = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
         context.rename(self._path(f"{name}.dbtmp"), self._path(name), options)
 
+    def rename(self, name: str, to: str) -> bool:
+        """Whether it was there to be renamed."""
+        try:
+            return bool(self.fs.rename(self._path(name), self._path(to)))
+        except Py4JJavaError:
+            return False
+
+    def age(self, name: str) -> float | None:
+        """Seconds since a file was last written; None if it isn't there."""
+        try:
+            return time.time() - self.fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+        except Py4JJavaError:
+            return None
+
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
 
 class FileName(NamedTuple):
-    kind: str  # log, table, temp, manifest, current, lock, info
+    kind: str  # log, table, values, temp, manifest, current, lock, info, old_info
     number: int | None = None
 
 
-_NUMBERED = {"log": "log", "sst": "table", "dbtmp": "temp"}
+_NUMBERED = {"log": "log", "sst": "table", "ldb": "table", "dbtmp": "temp", "v_sst": "values"}
+_ENDINGS = {"log": "log", "table": "sst", "temp": "dbtmp", "values": "v_sst"}
 
 
 def name_of(kind: str, number: int | None = None) -> str:
     if kind == "manifest":
         return f"MANIFEST-{number:06d}"
-    ending = {v: k for k, v in _NUMBERED.items()}.get(kind)
+    if kind in ("info", "old_info"):
+        return "LOG" if kind == "info" else "LOG.old"
+    ending = _ENDINGS.get(kind)
     return f"{number:06d}.{ending}" if ending else kind.upper()
 
 
@@ -81,6 +100,8 @@ def parse_name(name: str) -> FileName | None:
         return FileName(name.lower())
     if m := re.fullmatch(r"MANIFEST-(\d+)", name):
         return FileName("manifest", int(m[1]))
-    if m := re.fullmatch(r"(\d+)\.(log|sst|dbtmp)", name):
+    if name in ("LOG", "LOG.old"):
+        return FileName("info" if name == "LOG" else "old_info")
+    if m := re.fullmatch(r"(\d+)\.(log|sst|ldb|dbtmp|v_sst)", name):
         return FileName(_NUMBERED[m[2]], int(m[1]))
     return FileName("temp") if name.endswith(".dbtmp") else None

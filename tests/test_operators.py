@@ -9,6 +9,7 @@ from palimpsest.operators import batch, bloom, compaction, visibility
 from palimpsest.operators.intervals import covered
 from palimpsest.operators.names import unused
 from palimpsest.operators.skew import hot_left_join
+from palimpsest.sources import scratch
 
 LOG = "key string, seq long, op int, value string"
 
@@ -113,3 +114,22 @@ def test_hot_join(spark):
     assert len(got) == 600 and all(r["n"] == (400 if r["k"] == "hot" else 1) for r in got)
     partial = hot_left_join(left, right.filter("k = 'k0'"), ["k"], "n", 600, F.col("i")).filter("n is not null")
     assert [r["k"] for r in partial.collect()] == ["k0"]
+
+
+def test_scratch_tables_go_with_their_lifetime(spark):
+    with scratch.lifetime():
+        one = scratch.Scratch(spark, "one")
+        kept = one.keep(spark.range(3).toDF("x"), "t")
+        assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        kept.count()
+    made = []
+    with scratch.collecting(made):
+        two, three = scratch.Scratch(spark, "two"), scratch.Scratch(spark, "three")
+        a, b = two.keep(spark.range(3).toDF("x"), "t"), three.keep(spark.range(4).toDF("x"), "t")
+    scratch.release(made, a.filter("x > 0"))
+    assert made == [two] and a.count() == 3
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        b.count()
+    scratch.release(made)
+    assert made == []
