@@ -122,6 +122,7 @@ def _marked(base: DataFrame, scratch: Scratch, local_rows: int, local_bytes: int
         scratch.drop(f"c{level}")
         if level == 0:
             scratch.drop("l0")
+        scratch.sweep()
         ended = split.filter("small is null").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("gid")).alias("kept"), "text_sha256", "row")
         small = split.filter("small").select("doc_id", "text_sha256", "row", "gid", "rest", "tie")
         small = small.repartition("gid").sortWithinPartitions("gid").mapInArrow(_finish, _RESULT)

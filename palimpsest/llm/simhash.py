@@ -415,9 +415,11 @@ def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, similari
     bits = max(6, (total // PART).bit_length())
     entries = texts.mapInArrow(_spread(bits), PARTS).repartition("part").sortWithinPartitions("part")
     by_node = scratch.keep(entries.mapInArrow(_shared(bits), PARTS).unionByName(nodes.filter("size > 0").select("node", "size").mapInArrow(_sized(bits), PARTS)), "entries")
+    scratch.sweep()
     prefix = by_node.repartition("part").sortWithinPartitions("part").mapInArrow(_prefixes(similarity), "key long, node long, size long, at long")
     prefix = scratch.keep(prefix, "prefix")
     scratch.drop("entries")
+    scratch.sweep()
 
     pairs = prefix.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_first_pairs(similarity), "u long, v long")
     pairs = scratch.keep(pairs.distinct(), "pairs1")
@@ -425,6 +427,7 @@ def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, similari
     ids = nodes.join(met, "node", "left_semi").select("id")
     sets = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(_node_sets, "node long, shingles array<bigint>")
     sets = scratch.keep(sets.dropDuplicates(["node"]), "sets")
+    scratch.sweep()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
@@ -432,6 +435,8 @@ def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, similari
         return both.filter(common + _SLACK >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
     links = scratch.keep(confirmed(pairs), "links1")
+    scratch.drop("pairs1")
+    scratch.sweep()
     roots = components(links, Scratch(texts.sparkSession, "similar-first"))
     labels = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
     labelled = scratch.keep(prefix.join(labels, "node"), "labelled")
