@@ -24,6 +24,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,8 +178,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # Equal sets are one node, named by a 64-bit hash of the set. The many (shingle, node)
 # entries travel as bytes of arrays, a row for each slice of texts and part of the range
 # of hashes, since a row for each would cost several times as much.
-
-SHINGLE, SIMILARITY, BLOCK, PART = 5, 0.8, 512, 1 << 20
+#
+# No task gathers what a large share of the texts holds. Any order of shingles that all
+# texts agree on will do, so shingles that very many texts hold (which a summary of
+# frequent items finds on the way) are all put last, need no count, and travel to their
+# nodes straight away. Of a text in very many copies one row is spread. Keys that very
+# many nodes hold are cut into runs by a salt.
+
+SHINGLE, SIMILARITY, BLOCK, PART, RUN, CHUNK = 5, 0.8, 512, 1 << 20, 1 << 16, 1 << 13
+HOT_ROWS, HOT_SHARE, COUNTERS, LISTED = 1024, 0.005, 1 << 16, 1 << 16
 _SLACK = 1e-9  # bounds err on the side of comparing
 
 
@@ -206,11 +214,35 @@ def _longs(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
+class Frequent:
+    """A summary of the most frequent items of a stream in a fixed number of counters; counts err below by n / counters at most."""
+
+    def __init__(self, counters: int = COUNTERS):
+        self.counters = counters
+        self.items, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, items: np.ndarray) -> None:
+        new, counts = np.unique(items, return_counts=True)
+        both, at = np.unique(np.concatenate([self.items, new]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([self.counts, counts]), len(both)).astype(np.int64)
+        if len(both) > self.counters:
+            total -= np.partition(total, len(total) - self.counters - 1)[len(total) - self.counters - 1]
+        self.items, self.counts = both[total > 0], total[total > 0]
+
+
 @lean
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, node, size) of each text; then, with sizes below zero, frequent shingles and in how many of the task's texts they are."""
+    names, frequent, rows = ["doc_id", "node", "size"], Frequent(), 0
     for batch in batches:
         sets = _sets(batch)
-        yield pa.RecordBatch.from_arrays([batch.column(0), _longs([n for n, _ in sets]), pa.array([len(s) for _, s in sets], pa.int64())], ["doc_id", "node", "size"])
+        if sets:
+            frequent.add(np.concatenate([s for _, s in sets]))
+            rows += len(sets)
+        yield pa.RecordBatch.from_arrays([batch.column(0), _longs([n for n, _ in sets]), pa.array([len(s) for _, s in sets], pa.int64())], names)
+    often = frequent.counts >= max(2, 0.4 * HOT_SHARE * rows)
+    items = frequent.items[often].view(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(items), pa.int64()), pa.array(items), pa.array(-frequent.counts[often])], names)
 
 
 @lean
@@ -253,27 +285,45 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield whole()
 
 
-def _spread(bits: int):
-    """Texts to entries by shingle."""
+_LAST = np.uint32(0xFFFFFFFF)  # the count of shingles that are put last
+
+
+def _spread(bits: int, hot: np.ndarray, copied: dict[int, int]):
+    """Texts to entries by shingle; of shingles in ``hot`` (sorted) to entries by node; of ``copied`` nodes only the row with the id given."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = dict(_sets(batch))
+            sets = {n: s for i, (n, s) in zip(batch.column(0).to_pylist(), _sets(batch)) if copied.get(n, i) == i}
             sizes = [len(s) for s in sets.values()]
             if sum(sizes):
                 shingle = np.concatenate(list(sets.values()))
-                yield _scatter(shingle, bits, shingle, np.repeat(np.array(list(sets), np.uint64), sizes), np.zeros((len(shingle), 0), np.uint32))  # n comes later
+                node = np.repeat(np.array(list(sets), np.uint64), sizes)
+                last = np.isin(shingle, hot)
+                if not last.all():
+                    yield _scatter(shingle[~last], bits, shingle[~last], node[~last], np.zeros((int((~last).sum()), 0), np.uint32))  # n comes later
+                if last.any():
+                    yield _scatter(node[last], bits, shingle[last], node[last], np.full(int(last.sum()), _LAST))
 
     return run
 
 
 def _shared(bits: int):
-    """Entries by shingle to entries by node, of shingles that several nodes hold, with their number."""
+    """Entries by shingle to entries by node, of shingles that several nodes hold, with their number; those with a number pass."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, node, _ in _gather(batches):
+        ready: list[pa.RecordBatch] = []
+
+        def without_number() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                numbered = pc.greater(pc.binary_length(batch.column(3)), 0)
+                ready.append(batch.filter(numbered))
+                yield batch.filter(pc.invert(numbered))
+
+        for shingle, node, _ in _gather(without_number()):
+            yield from (b for b in ready if b.num_rows)
+            ready.clear()
             order = np.lexsort((node, shingle))
             shingle, node = shingle[order], node[order]
             new = np.ones(len(shingle), bool)
@@ -281,9 +331,10 @@ def _shared(bits: int):
             shingle, node = shingle[new], node[new]
             starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
             n = np.diff(np.append(starts, len(shingle)))
-            n = np.repeat(n, n).astype(np.uint32)
+            n = np.repeat(np.minimum(n, int(_LAST) - 1), n).astype(np.uint32)
             if (n > 1).any():
                 yield _scatter(node[n > 1], bits, shingle[n > 1], node[n > 1], n[n > 1])
+        yield from (b for b in ready if b.num_rows)
 
     return run
 
@@ -309,6 +360,9 @@ def _prefixes(similarity: float):
         for shingle, node, n in _gather(batches):
             order = np.lexsort((shingle, n, node))
             shingle, node, n = shingle[order], node[order], n[order]
+            new = np.ones(len(n), bool)  # copies that were spread in other slices
+            new[1:] = (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1]) | (n[1:] != n[:-1])
+            shingle, node, n = shingle[new], node[new], n[new]
             starts = np.flatnonzero(n == 0)  # a node's size comes first
             count = np.diff(np.append(starts, len(n)))
             size = np.repeat(shingle[starts].astype(np.int64), count)
@@ -353,7 +407,7 @@ def _runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndarra
 
 
 def _first_pairs(similarity: float):
-    """Of each run of a key, sorted by size: each row with the one before and with the run's first."""
+    """Of each run of (key, salt), sorted by size: each row with the one before and with the run's first."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,8 +418,8 @@ def _first_pairs(similarity: float):
                 continue
             if last is not None:
                 cols = [np.concatenate(p) for p in zip(last, cols)]
-            key, node, size, at = cols
-            starts = np.concatenate([[True], key[1:] != key[:-1]])
+            key, salt, node, size, at = cols
+            starts = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
             first = np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))
             j = np.flatnonzero(~starts)
             i, j = np.concatenate([first[j], j - 1]), np.concatenate([j, j])
@@ -377,12 +431,17 @@ def _first_pairs(similarity: float):
 
 
 def _all_pairs(similarity: float):
-    """Of each run of (key, low, high): all pairs of different groups; of two different blocks only those between them."""
+    """Of each run of (key, home, chunk): pairs of different groups.
+
+    Rows of the block that is at home come first, and each is compared with those after
+    it; with one another in the first chunk only. Guests are rows of smaller groups from
+    other blocks; two rows of smaller groups meet in the lower block of theirs.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, low, high, node, size, at, label, block in _runs(batches, 3):
-            i = np.arange(len(node))
+        for number, _, home, chunk, guest, node, size, at, label, minor, block in _runs(batches, 3):
+            i = np.flatnonzero(guest == 0)
             shift, u, v, held = 1, [], [], 0
             while True:
                 i = i[i + shift < len(node)]
@@ -390,7 +449,8 @@ def _all_pairs(similarity: float):
                 if not len(i):
                     break
                 j = i + shift
-                ok = (label[i] != label[j]) & ((low[i] == high[i]) | (block[i] != block[j])) & _may_be_alike(size, at, i, j, similarity)
+                here = np.where(guest[j] == 0, chunk[i] == 0, (minor[i] == 0) | (home[i] < block[j]))
+                ok = here & (label[i] != label[j]) & _may_be_alike(size, at, i, j, similarity)
                 u.append(i[ok])
                 v.append(j[ok])
                 held, shift = held + int(ok.sum()), shift + 1
@@ -403,17 +463,36 @@ def _all_pairs(similarity: float):
     return run
 
 
-def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def _runs_of_keys(prefix: DataFrame, held: DataFrame, run: int) -> DataFrame:
+    """(key, salt, node, size, at): the rows of a key in runs of about ``run`` at most; a key's first rows of its runs are one more."""
+    plain = prefix.select("key", F.lit(0).alias("salt"), "node", "size", "at")
+    large = held.filter(F.col("n") > run)
+    if large.isEmpty():
+        return plain
+    rows = hot_left_join(prefix, large, ["key"], "n", prefix.count(), F.col("node"))
+    salted = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / run)), F.lit(0)).cast("int"))
+    first = salted.filter("n is not null").groupBy("key", "salt").agg(F.min(F.struct("size", "node", "at")).alias("f"))
+    return salted.select(*plain.columns).unionByName(first.select("key", F.lit(-1).alias("salt"), "f.node", "f.size", "f.at"))
+
+
+def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, block: int = BLOCK, frequent: DataFrame | None = None, hot: int = HOT_ROWS, run: int = RUN) -> DataFrame:
     """(u, v): links between nodes whose sets are alike; their components are those of all such pairs.
 
-    ``texts`` are (doc_id, text), ``nodes`` their (node, size). First each node of a key is
-    compared with two others, which links most of a family; then, between what is still
-    apart, all pairs of all keys are. Of a key that more than ``block`` nodes hold, blocks
-    are compared with blocks, each two of them a group of its own.
+    ``texts`` are (doc_id, text), ``nodes`` their (node, id, size, n: copies), ``frequent``
+    (shingle, n). First each node of a key is compared with two others, which links most
+    of a family; then, between what is still apart, all pairs of all keys are: those of a
+    key's largest group are spread over blocks, and only rows of its other groups visit
+    every block. Shingles that more than ``hot`` and a share of the texts hold are put
+    last, at most ``LISTED`` of them; so many nodes with most copies are spread from one row.
     """
-    total = nodes.agg(F.sum("size")).first()[0] or 0
+    total, rows = nodes.agg(F.sum("size"), F.sum("n")).first()
+    total, rows = total or 0, rows or 0
     bits = max(6, (total // PART).bit_length())
-    entries = texts.mapInArrow(_spread(bits), PARTS).repartition("part").sortWithinPartitions("part")
+    often = frequent.filter(F.col("n") >= max(hot, HOT_SHARE * rows)).orderBy(F.desc("n"), "shingle").limit(LISTED).collect() if frequent is not None else []
+    hot_shingles = np.sort(np.array([r["shingle"] for r in often], np.int64).view(np.uint64))
+    copied = nodes.filter(F.col("n") > max(7, rows // LISTED)).orderBy(F.desc("n"), "node").limit(LISTED).select("node", "id").collect()
+    copied = {r["node"] % (1 << 64): r["id"] for r in copied}
+    entries = texts.mapInArrow(_spread(bits, hot_shingles, copied), PARTS).repartition("part").sortWithinPartitions("part")
     by_node = scratch.keep(entries.mapInArrow(_shared(bits), PARTS).unionByName(nodes.filter("size > 0").select("node", "size").mapInArrow(_sized(bits), PARTS)), "entries")
     scratch.sweep()
     prefix = by_node.repartition("part").sortWithinPartitions("part").mapInArrow(_prefixes(similarity), "key long, node long, size long, at long")
@@ -421,9 +500,10 @@ def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, similari
     scratch.drop("entries")
     scratch.sweep()
 
-    pairs = prefix.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_first_pairs(similarity), "u long, v long")
+    held = scratch.keep(prefix.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "held")
+    pairs = _runs_of_keys(prefix, held, run).repartition("key", "salt").sortWithinPartitions("key", "salt", "size", "node").mapInArrow(_first_pairs(similarity), "u long, v long")
     pairs = scratch.keep(pairs.distinct(), "pairs1")
-    met = prefix.join(prefix.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key", "left_semi").select("node").distinct()
+    met = prefix.join(held, "key", "left_semi").select("node").distinct()
     ids = nodes.join(met, "node", "left_semi").select("id")
     sets = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(_node_sets, "node long, shingles array<bigint>")
     sets = scratch.keep(sets.dropDuplicates(["node"]), "sets")
@@ -440,18 +520,24 @@ def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, similari
     roots = components(links, Scratch(texts.sparkSession, "similar-first"))
     labels = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
     labelled = scratch.keep(prefix.join(labels, "node"), "labelled")
-    apart = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key", "n")
+    groups = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
+    apart = groups.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
+    apart = scratch.keep(apart.select("key", "n", F.col("top.label").alias("largest"), (F.col("n") - F.col("top.c")).alias("others")), "apart")
     rows = hot_left_join(labelled, apart, ["key"], "n", labelled.count(), F.col("node")).filter("n is not null")
-    blocks = F.ceil(F.col("n") / block)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "size", "at", "label", "block")
-    rest = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_all_pairs(similarity), "u long, v long")
+    blocks, chunks = F.ceil(F.col("n") / block), F.ceil(F.col("others") / CHUNK)
+    rows = rows.withColumn("minor", (F.col("label") != F.col("largest")).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    whole = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    columns = ["node", "size", "at", "label", "minor", "block"]
+    home = rows.select("key", F.col("block").alias("home"), F.explode(whole(chunks)).alias("chunk"), F.lit(0).alias("guest"), *columns)
+    guests = rows.filter("minor = 1").select("key", F.explode(whole(blocks)).alias("home"), F.pmod(F.xxhash64(F.lit(1), "node"), chunks).alias("chunk"), F.lit(1).alias("guest"), *columns).filter("home <> block")
+    placed = home.unionByName(guests).repartition("key", "home", "chunk").sortWithinPartitions("key", "home", "chunk", "guest", "size", "node")
+    rest = placed.mapInArrow(_all_pairs(similarity), "u long, v long")
     rest = scratch.keep(rest.distinct(), "pairs2")
     scratch.drop("labelled", "prefix")
     return scratch.keep(links.unionByName(confirmed(rest)), "links")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = BLOCK, hot: int = HOT_ROWS, run: int = RUN) -> DataFrame:
     """(doc_id, component_id) of documents that are like another: their sets of five-word shingles by ``similarity`` or more.
 
     Every such pair is linked. Rows without an id are left out. ``component_id`` is the
@@ -459,9 +545,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch = Scratch(docs.sparkSession, "similar")
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    each = scratch.keep(texts.mapInArrow(_nodes, "doc_id long, node long, size long"), "each")
+    told = scratch.keep(texts.mapInArrow(_nodes, "doc_id long, node long, size long"), "each")
+    each = told.filter("size >= 0")
+    frequent = told.filter("size < 0").groupBy(F.col("node").alias("shingle")).agg(F.sum(-F.col("size")).alias("n"))
     nodes = scratch.keep(each.groupBy("node").agg(F.min("doc_id").alias("id"), F.max("size").alias("size"), F.count("*").alias("n")), "nodes")
-    roots = components(similar_links(texts, nodes, scratch, similarity, block), scratch)
+    roots = components(similar_links(texts, nodes, scratch, similarity, block, frequent, hot, run), scratch)
     group = scratch.keep(nodes.join(roots, "node", "left").select("node", "id", "n", F.coalesce("root", "node").alias("root")), "groups")
     least = group.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("members"))
     group = hot_left_join(group, least, ["root"], "members", nodes.count(), F.col("node")).select("node", "n", "component_id")

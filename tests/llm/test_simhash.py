@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from palimpsest.llm.simhash import DISTANCE, drop_near_duplicates, fingerprint_links, in_chain, near_duplicates, similar_groups, simhash
+from palimpsest.llm import simhash as simhash_module
+from palimpsest.llm.simhash import DISTANCE, Frequent, drop_near_duplicates, fingerprint_links, in_chain, near_duplicates, similar_groups, simhash
 from palimpsest.sources.scratch import Scratch
 
 LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -140,9 +141,9 @@ def test_simhash_of_long_text():
     assert simhash(t.encode()) == brute_fingerprint(t)
 
 
-def groups_of(spark, docs):
+def groups_of(spark, docs, **more):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    return {g["doc_id"]: g["component_id"] for g in similar_groups(df).collect()}
+    return {g["doc_id"]: g["component_id"] for g in similar_groups(df, **more).collect()}
 
 
 def brute_groups(docs):
@@ -197,6 +198,36 @@ def test_large_family(spark):
     assert groups_of(spark, docs) == want
 
 
+@pytest.mark.parametrize("more", [{"hot": 3, "run": 5, "block": 4}, {"hot": 40, "run": 1 << 16, "block": 7}])
+def test_hot_shingles_keys_and_copies(spark, monkeypatch, more):
+    """Shingles that many texts hold, keys in several runs, blocks with guests in several chunks, texts in many copies: no link is lost."""
+    monkeypatch.setattr(simhash_module, "CHUNK", 3)
+    r = random.Random(29)
+    words = vocabulary(r)
+    docs = []
+    for size in (60, 90, 30):  # templates of their own, whose families share a passage
+        shared, base = words[:20], [r.choice(words) for _ in range(size)]
+        docs += [changed(r, base + shared, words, r.choice((1, 2, 3, 8))) for _ in range(45)]
+    docs += [" ".join(words[:60])] * 30 + [" ".join(words[:60]).upper()] * 5 + [" ".join(words[:58])] * 12 + ["", "one two", None] * 3
+    docs = [d or "" for d in docs]
+    r.shuffle(docs)
+    want, links = brute_groups(docs)
+    assert links > 500 and groups_of(spark, docs, **more) == want
+
+
+def test_frequent_items():
+    r, seen, counts = random.Random(5), Frequent(50), {}
+    for _ in range(40):
+        items = [r.randrange(10_000) for _ in range(200)] + [7, 9] * 20
+        for x in items:
+            counts[x] = counts.get(x, 0) + 1
+        seen.add(np.array(items, np.uint64))
+    got = dict(zip(seen.items.tolist(), seen.counts.tolist()))
+    total = sum(counts.values())
+    assert len(got) <= 50 and all(counts[x] - total / 50 <= n <= counts[x] for x, n in got.items())
+    assert {7, 9} <= set(got)
+
+
 def test_appended_and_replaced_passages(spark):
     """Likeness of 0.8 to 0.85 by one passage; all such pairs are found."""
     r = random.Random(23)
