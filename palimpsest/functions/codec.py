@@ -74,6 +74,14 @@ def shared_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_min(differs), F.lit(0))
 
 
+def shortest_separator(a: Column, b: Column) -> Column:
+    """A short key s with a <= s < b, for an index between two blocks; a itself where none shorter than it is found."""
+    x, n = F.hex(a.cast("binary")), shared_prefix(a, b)
+    at = [F.conv(F.substring(F.hex(k.cast("binary")), 2 * n + 1, F.lit(2)), 16, 10).cast("int") for k in (a, b)]
+    differs = (n < F.least(F.octet_length(a), F.octet_length(b))) & (at[0] + 1 < at[1])
+    return F.when(differs, F.unhex(F.concat(F.substring(x, F.lit(1), 2 * n), _byte(at[0] + 1)))).otherwise(a.cast("binary"))
+
+
 def _crc32c_table() -> np.ndarray:
     t = np.arange(256, dtype=np.uint32)
     for _ in range(8):

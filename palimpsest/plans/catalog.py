@@ -259,7 +259,23 @@ def prefix_shared_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("key", shared.cast("int").alias("shared")).withColumn("rest", F.expr("substring(key, shared + 1)"))
 
 
-@query(None)
+@query("""WITH k AS (SELECT DISTINCT p_name AS key FROM part), s AS (SELECT key, lead(key) OVER (ORDER BY key) AS next_key FROM k),
+    n AS (SELECT key, next_key, CAST((SELECT count(*) FROM range(1, 1 + least(length(s.key), length(s.next_key))) t(j)
+        WHERE left(s.key, CAST(j AS INTEGER)) = left(s.next_key, CAST(j AS INTEGER))) AS INTEGER) AS n FROM s WHERE next_key IS NOT NULL)
+    SELECT key, next_key, CASE WHEN n < least(length(key), length(next_key)) AND ascii(substr(key, n + 1, 1)) + 1 < ascii(substr(next_key, n + 1, 1))
+        THEN left(key, n) || chr(ascii(substr(key, n + 1, 1)) + 1) ELSE key END AS separator FROM n""")
+def index_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index may store between neighbouring keys instead of the first one."""
+    log = table(spark, sf_dir, "part").select(F.col("p_name").alias("key"), F.col("p_partkey").alias("seq"), F.lit(1).alias("op"))
+    near = visibility.neighbours(log).filter("next_key is not null")
+    return near.select("key", "next_key", codec.shortest_separator(F.col("key"), F.col("next_key")).cast("string").alias("separator"))
+
+
+_CRC_STEP = "list_reduce([c, 1, 1, 1, 1, 1, 1, 1, 1], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 2197175160) ELSE x >> 1 END)"
+
+
+@query(f"""WITH b AS (SELECT p_partkey AS key, list_transform(range(1, length(p_name) + 1), lambda i: CAST(ascii(substr(p_name, CAST(i AS INTEGER), 1)) AS BIGINT)) AS bytes FROM part)
+    SELECT key, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, b: {_CRC_STEP.replace('[c,', '[xor(a, b),')}), 4294967295) AS crc FROM b""")
 def crc32c_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), codec.crc32c(F.col("p_name").cast("binary")).alias("crc"))
 
