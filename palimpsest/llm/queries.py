@@ -110,6 +110,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    # holds where no language has more different texts than are learnt from (1,000), so that all of them are
+    "op1_rank_order_langid": r"""
+        WITH d AS (SELECT doc_id, text, lang, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT))),
+                lambda a, b: list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 5 = 0 AS held_out
+            FROM documents),
+        n AS (SELECT *, string_split(' ' || trim(lower(regexp_replace(text, '[^\p{L}]+', ' ', 'g'))) || ' ', '') AS l FROM d WHERE regexp_matches(text, '\p{L}')),
+        g AS (SELECT doc_id, unnest(l) AS gram FROM n
+            UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(l)), lambda i: l[i] || l[i + 1])) FROM n
+            UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])) FROM n),
+        c AS (SELECT doc_id, gram, count(*) AS n FROM g WHERE gram <> ' ' GROUP BY ALL),
+        own AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(gram), gram) - 1 AS place FROM c QUALIFY place < 400),
+        learnt AS (SELECT lang, min(doc_id) AS doc_id FROM n WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, text),
+        profile AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(gram), gram) - 1 AS rank FROM learnt JOIN c USING (doc_id) GROUP BY lang, gram QUALIFY rank < 400),
+        apart AS (SELECT doc_id, l.lang, sum(coalesce(abs(p.rank - o.place), 400)) AS distance, count(*) AS size
+            FROM own o CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.gram = o.gram GROUP BY doc_id, l.lang),
+        best AS (SELECT doc_id, lang, distance, size FROM apart QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) = 1)
+        SELECT d.doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1 - CAST(distance AS DOUBLE) / (400 * size), 0) AS score FROM d LEFT JOIN best USING (doc_id)""",
     "op8_schema_chat_format": """
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -132,6 +150,14 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT DISTINCT conv_id, 0, 'system', 'Be brief.', 'messages_system' FROM c WHERE kind = 2
         UNION ALL SELECT conv_id, 0, 'user', CASE WHEN text = '' THEN '' ELSE text || chr(10) || chr(10) END || 'now', 'instruction_input_output' FROM c WHERE kind = 3 AND turn = 0
         UNION ALL SELECT conv_id, 1, 'assistant', text, 'instruction_input_output' FROM c WHERE kind = 3 AND turn = n - 1""",
+    # what the table's pages call their article, which no part of the model reads so directly
+    "op9_html_tree_model": r"""
+        WITH a AS (SELECT page_id, url, split_part(split_part(html, '<article>', 2), '</article>', 1) AS inside FROM pages),
+        b AS (SELECT page_id, url, list_transform(regexp_split_to_array(replace(inside, '<br>', ' '), '</?(?:p|h1|b)>'),
+                lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'),
+                    '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS blocks FROM a),
+        t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)), '') AS text FROM b)
+        SELECT page_id, url, text, length(text) AS n_chars FROM t""",
     "op10_msd_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
