@@ -19,6 +19,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from palimpsest.llm.tokens import largest_id, shared
 from palimpsest.llm.workers import lean
 from palimpsest.sources.scratch import Scratch
 
-MAGIC, BLOCK_BYTES, BITS_PER_KEY, PROBES = b"PLMPSST1", 1 << 16, 10, 7
+MAGIC, BLOCK_BYTES, BITS_PER_KEY, PROBES, SHARD_ROWS = b"PLMPSST2", 1 << 16, 10, 7, 1 << 20
 _FOOTER = struct.Struct("<QIQIQQB7x8s")
 _ENTRY = struct.Struct("<QIIQ")
 
@@ -67,10 +68,10 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
             return n, at
 
 
-def _probes(key: bytes, bits: int) -> list[int]:
-    h = xxhash.xxh64_intdigest(key)
-    step = (h >> 33) | 1
-    return [(h + i * step) % bits for i in range(PROBES)]
+def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of each hash, a row for each probe; half the hash leaves room for the steps."""
+    base, step = hashes >> np.uint64(1), (hashes >> np.uint64(33)) | np.uint64(1)
+    return np.stack([(base + np.uint64(i) * step) % np.uint64(bits) for i in range(PROBES)]).astype(np.int64)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -80,12 +81,12 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Writer:
-    """Writes entries that come in key order; block by block, so memory is a block, the index and the keys' hashes."""
+    """Writes entries that come in key order; block by block, so memory is a block, the index and eight bytes for each different key."""
 
     def __init__(self, out, width: int):
         self.out, self.width, self.dtype, self.top = out, width, "<u2" if width == 2 else "<u4", (1 << 8 * width) - 1
         self.block, self.entries, self.last = bytearray(), 0, b""
-        self.index, self.keys = bytearray(), []
+        self.index, self.hashes = bytearray(), array("Q")
         self.offset = self.docs = self.tokens = self.tokens_before = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -97,8 +98,9 @@ class Writer:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
                 shared += 1
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
+        if not self.docs or key != self.last:
+            self.hashes.append(xxhash.xxh64_intdigest(key))
         self.last, self.entries, self.docs, self.tokens = key, self.entries + 1, self.docs + 1, self.tokens + len(ids)
-        self.keys.append(key)
         if len(self.block) >= BLOCK_BYTES:
             self._cut()
 
@@ -111,10 +113,11 @@ class Writer:
 
     def close(self) -> None:
         self._cut()
-        bits = max(64, len(self.keys) * BITS_PER_KEY)
+        bits = max(64, len(self.hashes) * BITS_PER_KEY)
         bloom = np.zeros((bits + 7) // 8 * 8, np.uint8)
-        for key in self.keys:
-            bloom[_probes(key, bits)] = 1
+        hashes = np.frombuffer(self.hashes, np.uint64)
+        for at in range(0, len(hashes), 1 << 16):
+            bloom[_probes(hashes[at : at + (1 << 16)], bits).ravel()] = 1
         packed = struct.pack("<Q", bits) + np.packbits(bloom).tobytes()
         self.out.write(bytes(self.index) + packed)
         at = self.offset + len(self.index)
@@ -162,7 +165,8 @@ class Table:
                 yield id_of(key), start, ids
 
     def may_hold(self, key: bytes) -> bool:
-        return all(self.bloom[p >> 3] >> (7 - (p & 7)) & 1 for p in _probes(key, self.bits))
+        at = _probes(np.array([xxhash.xxh64_intdigest(key)], np.uint64), self.bits).ravel().tolist()
+        return all(self.bloom[p >> 3] >> (7 - (p & 7)) & 1 for p in at)
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every document with this identifier."""
@@ -180,14 +184,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     """Encodes documents and writes a shard for each range of identifiers; (shard, path, docs, tokens, start), a row each.
 
     Rows are range-partitioned by identifier into as many shards as shuffles have
-    partitions. A task writes under a name of its own and reports it, so of attempts that
+    partitions, or more where a shard would have over ``SHARD_ROWS`` rows. A task writes under a name of its own and reports it, so of attempts that
     are repeated or lost only the one that counts is listed. ``start`` is the tokens of all
     shards before it, summed on the driver over one row per shard. Ids take two bytes where
     the vocabulary's largest one fits, else four.
     """
     spark = docs.sparkSession
     width = 2 if max(largest_id(tokenizer_path), end_id) < 1 << 16 else 4
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD_ROWS))
 
     @lean
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
