@@ -58,7 +58,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage(2)
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates: SimHash on the ring, then shared shingles for those beyond its distance."""
     return drop_near_duplicates(docs)
 
 

@@ -168,9 +168,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # --- similar texts -------------------------------------------------------------------------
 #
 # Texts are alike if the Jaccard likeness of their sets of five-word shingles is 0.8 or more.
-# Two bits of 64 find texts that are nearly the same only, and at 0.8 no Hamming search is
-# exact, so candidates come from prefix filtering, which loses no pair: order all shingles
-# the rarest first; sets x and y that are alike by t share a shingle within the first
+# Fingerprints and the ring bring the first candidates: texts whose SimHash differs in two
+# bits at most. Fillers can give texts that aren't alike one fingerprint, so the sets are
+# compared. Two bits of 64 find texts that are nearly the same only, and at 0.8 no Hamming
+# search is exact, so the rest comes from prefix filtering, which loses no pair: order all
+# shingles the rarest first; sets x and y that are alike by t share a shingle within the first
 # |x| - ceil(t |x|) + 1 of x and the same of y. Shingles of one set only come first and
 # meet nothing, so most texts drop out there. Of what meets, sizes and positions bound the
 # likeness; then the sets themselves are compared. Only confirmed links are ever thinned.
@@ -232,17 +234,19 @@ class Frequent:
 
 @lean
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, node, size) of each text; then, with sizes below zero, frequent shingles and in how many of the task's texts they are."""
-    names, frequent, rows = ["doc_id", "node", "size"], Frequent(), 0
+    """(doc_id, node, size, fp) of each text; then, with sizes below zero, frequent shingles and in how many of the task's texts they are."""
+    names, frequent, rows = ["doc_id", "node", "size", "fp"], Frequent(), 0
     for batch in batches:
         sets = _sets(batch)
         if sets:
             frequent.add(np.concatenate([s for _, s in sets]))
             rows += len(sets)
-        yield pa.RecordBatch.from_arrays([batch.column(0), _longs([n for n, _ in sets]), pa.array([len(s) for _, s in sets], pa.int64())], names)
+        fps = [simhash(x.as_py() or b"") for x in batch.column(1).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), _longs([n for n, _ in sets]), pa.array([len(s) for _, s in sets], pa.int64()), _longs(fps)], names)
     often = frequent.counts >= max(2, 0.4 * HOT_SHARE * rows)
     items = frequent.items[often].view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(items), pa.int64()), pa.array(items), pa.array(-frequent.counts[often])], names)
+    nulls = pa.nulls(len(items), pa.int64())
+    yield pa.RecordBatch.from_arrays([nulls, pa.array(items), pa.array(-frequent.counts[often]), nulls], names)
 
 
 @lean
@@ -475,12 +479,33 @@ def _runs_of_keys(prefix: DataFrame, held: DataFrame, run: int) -> DataFrame:
     return salted.select(*plain.columns).unionByName(first.select("key", F.lit(-1).alias("salt"), "f.node", "f.size", "f.at"))
 
 
-def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, block: int = BLOCK, frequent: DataFrame | None = None, hot: int = HOT_ROWS, run: int = RUN) -> DataFrame:
+def ring_pairs(marked: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, run: int = RUN, bucket: int = BUCKET) -> DataFrame:
+    """(u, v): pairs of nodes whose fingerprints are within the distance, to be compared; ``marked`` are distinct (fp, node, size).
+
+    For each link of the ring the smallest nodes of its two fingerprints; of the nodes with
+    one fingerprint, by size, each with the one before and with the first.
+    """
+    fps = scratch.keep(marked.groupBy("fp").agg(F.min(F.struct("size", "node")).alias("least"), F.count("*").alias("n")), "fps")
+    links = fingerprint_links(fps.select("fp"), scratch, bucket)
+    for end in ("u", "v"):
+        links = links.join(fps.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_least")), end)
+    sizes = F.col("u_least.size"), F.col("v_least.size")
+    links = links.filter(F.least(*sizes) + _SLACK >= similarity * F.greatest(*sizes)).select(*(f(F.col("u_least.node"), F.col("v_least.node")).alias(c) for c, f in (("u", F.least), ("v", F.greatest))))
+    several = fps.filter("n > 1").select(F.col("fp").alias("key"), "n")
+    rows = marked.select(F.col("fp").alias("key"), "node", "size", F.lit(0).cast("long").alias("at"))
+    rows = hot_left_join(rows, several, ["key"], "n", marked.count(), F.col("node")).filter("n is not null").drop("n")
+    equal = _runs_of_keys(rows, several, run).repartition("key", "salt").sortWithinPartitions("key", "salt", "size", "node").mapInArrow(_first_pairs(similarity), "u long, v long")
+    pairs = scratch.keep(links.filter("u <> v").unionByName(equal).distinct(), "pairs")
+    scratch.drop("fps", "keys", "keyed", "links")
+    return pairs
+
+
+def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, block: int = BLOCK, frequent: DataFrame | None = None, hot: int = HOT_ROWS, run: int = RUN, close: DataFrame | None = None) -> DataFrame:
     """(u, v): links between nodes whose sets are alike; their components are those of all such pairs.
 
     ``texts`` are (doc_id, text), ``nodes`` their (node, id, size, n: copies), ``frequent``
-    (shingle, n). First each node of a key is compared with two others, which links most
-    of a family; then, between what is still apart, all pairs of all keys are: those of a
+    (shingle, n), ``close`` pairs (u, v) to compare besides. First those are, and each node
+    of a key with two others, which links most of a family; then, between what is still apart, all pairs of all keys are: those of a
     key's largest group are spread over blocks, and only rows of its other groups visit
     every block. Shingles that more than ``hot`` and a share of the texts hold are put
     last, at most ``LISTED`` of them; so many nodes with most copies are spread from one row.
@@ -502,8 +527,11 @@ def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, similari
 
     held = scratch.keep(prefix.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "held")
     pairs = _runs_of_keys(prefix, held, run).repartition("key", "salt").sortWithinPartitions("key", "salt", "size", "node").mapInArrow(_first_pairs(similarity), "u long, v long")
-    pairs = scratch.keep(pairs.distinct(), "pairs1")
-    met = prefix.join(held, "key", "left_semi").select("node").distinct()
+    met = prefix.join(held, "key", "left_semi").select("node")
+    if close is not None:
+        pairs = pairs.unionByName(close)
+        met = met.unionByName(close.select(F.explode(F.array("u", "v")).alias("node")))
+    pairs, met = scratch.keep(pairs.distinct(), "pairs1"), met.distinct()
     ids = nodes.join(met, "node", "left_semi").select("id")
     sets = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(_node_sets, "node long, shingles array<bigint>")
     sets = scratch.keep(sets.dropDuplicates(["node"]), "sets")
@@ -540,20 +568,23 @@ def similar_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch, similari
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = BLOCK, hot: int = HOT_ROWS, run: int = RUN) -> DataFrame:
     """(doc_id, component_id) of documents that are like another: their sets of five-word shingles by ``similarity`` or more.
 
-    Every such pair is linked. Rows without an id are left out. ``component_id`` is the
-    least doc_id that links reach.
+    Every such pair is linked: those with fingerprints within the distance by the ring, the
+    others by shared shingles. Rows without an id are left out. ``component_id`` is the least
+    doc_id that links reach.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    told = scratch.keep(texts.mapInArrow(_nodes, "doc_id long, node long, size long"), "each")
+    told = scratch.keep(texts.mapInArrow(_nodes, "doc_id long, node long, size long, fp long"), "each")
     each = told.filter("size >= 0")
     frequent = told.filter("size < 0").groupBy(F.col("node").alias("shingle")).agg(F.sum(-F.col("size")).alias("n"))
     nodes = scratch.keep(each.groupBy("node").agg(F.min("doc_id").alias("id"), F.max("size").alias("size"), F.count("*").alias("n")), "nodes")
-    roots = components(similar_links(texts, nodes, scratch, similarity, block, frequent, hot, run), scratch)
+    marked = scratch.keep(each.filter("size > 0").select("fp", "node", "size").distinct(), "marked")
+    close = ring_pairs(marked, Scratch(docs.sparkSession, "similar-ring"), similarity, run)
+    roots = components(similar_links(texts, nodes, scratch, similarity, block, frequent, hot, run, close), scratch)
     group = scratch.keep(nodes.join(roots, "node", "left").select("node", "id", "n", F.coalesce("root", "node").alias("root")), "groups")
     least = group.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("members"))
     group = hot_left_join(group, least, ["root"], "members", nodes.count(), F.col("node")).select("node", "n", "component_id")
-    out = hot_left_join(each, group, ["node"], "n", each.count(), F.col("doc_id"))
+    out = hot_left_join(each.select("doc_id", "node"), group, ["node"], "n", each.count(), F.col("doc_id"))
     return out.select("doc_id", "component_id")
 
 

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from palimpsest.llm import simhash as simhash_module
 from tests.llm.test_pii import brute as pii_brute
-from tests.llm.test_simhash import shingles
+from tests.llm.test_simhash import brute_fingerprint, changed, shingles, vocabulary
 from tests.llm.test_tokens import BYTE, check_pieces, library
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -92,3 +93,37 @@ def test_stages_keep_columns_and_clean_documents(spark, sf_dir):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("prefixes", [False, True])
+def test_near_goes_by_fingerprints_first(spark, monkeypatch, prefixes):
+    """Without candidates by shingles it still drops what is alike and within two bits; with them, all that is alike."""
+
+    def nothing(batches):
+        for _ in batches:
+            pass
+        yield from ()
+
+    if not prefixes:
+        monkeypatch.setattr(simhash_module, "_prefixes", lambda similarity: nothing)
+    r = random.Random(31)
+    words = vocabulary(r)
+    docs = []
+    for i in range(12):
+        base = [r.choice(words) for _ in range(900)]
+        docs += [" ".join(base), *(changed(r, base, words, n) for n in (1, 1, 12)), " ".join([*base[:300], *["x"] * 2000])]
+        docs.append(" ".join(base + base[:450]))  # one set but for five shingles, another fingerprint
+    docs += [" ".join([r.choice(words) for _ in range(300)] + ["x"] * 2000) for _ in range(4)]  # one fingerprint, other texts
+    sets, fps = [shingles(t) for t in docs], [brute_fingerprint(t) for t in docs]
+    least, kinds = list(range(len(docs))), {True: 0, False: 0}
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                close = (fps[i] ^ fps[j]).bit_count() <= 2
+                kinds[close] += 1
+                if close or prefixes:
+                    a, b = sorted((least[i], least[j]))
+                    least = [a if x == b else x for x in least]
+    assert kinds[True] > 5 and kinds[False] > 5 and len({f for f in fps if fps.count(f) > 3}) == 1
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {d["doc_id"] for d in corpus_pipeline.near(spark, df, "").collect()} == set(least)
