@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -36,7 +36,11 @@ def op2_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii_checksum_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["k"] < len(BASE))
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+
+    def count(k: int) -> Column:  # a filter's function of two parameters would get the index for the second
+        return F.size(F.filter("pii", lambda s: s["k"] == k)).cast("long")
+
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("pii")).alias("spans"))
 
 

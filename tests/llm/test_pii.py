@@ -103,3 +103,12 @@ def test_query_equals_brute_force(spark, sf):
     got = queries.op3_pii_checksum_context(spark, d).collect()
     assert {r["doc_id"]: r["base_sha256"] for r in got} == want
     assert sum(r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] for r in got) > 0
+
+
+def test_query_counts_by_kind(spark, tmp_path):
+    """Whatever order the kinds come in, and however often."""
+    texts = [*TEXTS, "+1 (826) 555-4081", "card 4111 1111 1111 1111, then a@b.com and c@d.org", "1.2.3.4 and 4.3.2.1, a@b.com, +1 (826) 555-4081"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d, rows in ((tmp_path, enumerate(texts)), ("/root/testdata/sf0.001", duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet'").fetchall())):
+        want = {i: [sum(x.startswith(f"{kind}:") for x in brute(t).split(",")) for kind in BASE] for i, t in rows}
+        assert {r["doc_id"]: [r[f"n_{kind}"] for kind in BASE] for r in queries.op3_pii_checksum_context(spark, str(d)).collect()} == want
